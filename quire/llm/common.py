@@ -61,3 +61,27 @@ def input_bytes(df: DataFrame) -> int:
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+_shipped: dict[str, str] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers through Spark's own file server, once per application."""
+    import os
+    import zipfile
+
+    import quire
+
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(quire.__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="quire-ship-"), "quire_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for d, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(os.path.join(d, name), os.path.relpath(os.path.join(d, name), os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
+    _shipped[app] = path

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import load
+from quire.llm.common import load, word_count
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +15,25 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs, "common", 10).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.mixing import mix_report
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"), F.xxhash64("text").cast("string").alias("text"))
+    return mix_report(sized, size=F.col("words"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quire.llm.tokens import token_report
+
+    return token_report(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
+    "op2_mix_sources": op2_mix_sources,
+    "op5_token_counts": op5_token_counts,
     "op7_line_dedup": op7_line_dedup,
 }
 

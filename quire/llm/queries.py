@@ -31,7 +31,15 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.toxicity import toxicity
+
+    found = toxicity(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "labels"), keep_text=False)
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending"))
+
+
 QUERIES = {
+    "op8_toxicity": op8_toxicity,
     "op2_mix_sources": op2_mix_sources,
     "op5_token_counts": op5_token_counts,
     "op7_line_dedup": op7_line_dedup,

@@ -1,10 +1,11 @@
 """Toxicity by multiple-instance learning: only documents are labelled, sentences are scored.
 
-A sentence's probability is logistic in the words it holds; a document's is the noisy-or of its sentences',
+A sentence's probability is logistic in the distinct words it holds and in their beginnings (PREFIXES characters, so
+that inflected forms of a stem share evidence); a document's is the noisy-or of its sentences',
 1 - prod(1 - p). The weights are fitted on document labels alone (proximal Adagrad with an L1 penalty), so the sentences
 that carry a label's blame get found on the way; score() returns them as spans.
 
-fit() uses a bounded sample of labelled rows: at most max_docs of them (8,000), the first by a hash of doc_id, of texts
+fit() uses a bounded sample of labelled rows: at most max_docs of them (6,000), the first by a hash of doc_id, of texts
 up to max_bytes (64 KiB), equal texts once. Scoring reads every whole text. Null and empty texts have no sentence: score 0.
 Without any labelled row, or without a positive one, every score is 0. Rows that repeat score alike.
 """
@@ -24,14 +25,35 @@ from quire.llm.common import ship
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
-MODEL_WORDS = 60_000
+PREFIXES = (4, 5)
+MODEL_FEATURES = 100_000
+CACHED_WORDS = 200_000
+
+
+def features(word: str) -> list[str]:
+    """The word itself, and its beginnings with a dash."""
+    return [word, *(word[:k] + "-" for k in PREFIXES if len(word) > k)]
+
+
+class WordWeights(dict):
+    """Weight of a word: the sum over its features. Bounded; emptied when full."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        self[word] = found = sum(self.weights.get(f, 0.0) for f in features(word[:64]))
+        return found
 
 
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, max_bytes: int = 1 << 16, label: str = "toxic") -> tuple[list[str], list[int]]:
+def sample(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_bytes: int = 1 << 16, label: str = "toxic") -> tuple[list[str], list[int]]:
     """Texts and labels of the rows to learn from; held-out rows are left out."""
     usable = labels.select("doc_id", F.col(label).cast("int").alias("__y")).filter(F.col("__y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).dropDuplicates(["doc_id"])
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).toPandas()  # ids and labels, bounded by max_docs
@@ -45,8 +67,8 @@ def sample(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, max_bytes:
     return list(seen), list(seen.values())
 
 
-def fit(texts: list[str], labels: list[int], l1: float = 2.0, steps: int = 150, rate: float = 0.5, min_docs: int = 5) -> tuple[float, dict[str, float]]:
-    """(bias, weights by word); words in fewer than min_docs texts have no weight."""
+def fit(texts: list[str], labels: list[int], l1: float = 1.0, steps: int = 200, rate: float = 0.5, min_docs: int = 5) -> tuple[float, dict[str, float]]:
+    """(bias, weights by feature); features of fewer than min_docs texts have no weight."""
     if not texts or not any(labels):
         return -50.0, {}
     found: Counter = Counter()
@@ -54,14 +76,14 @@ def fit(texts: list[str], labels: list[int], l1: float = 2.0, steps: int = 150,
     for t in texts:
         own = [set(WORD.findall(s)) for s in SENTENCE.findall(t.lower())]
         sentences.append(own)
-        found.update(set().union(*own) if own else ())
-    words = [w for w, n in found.most_common(MODEL_WORDS) if n >= min_docs]
+        found.update({f for w in (set().union(*own) if own else ()) for f in features(w[:64])})
+    words = [w for w, n in found.most_common(MODEL_FEATURES) if n >= min_docs]
     at = {w: i for i, w in enumerate(words)}
     doc = np.array([d for d, own in enumerate(sentences) for _ in own], dtype=np.int32)
-    hits = [(s, i) for s, own in enumerate(x for d in sentences for x in d) for w in own if (i := at.get(w)) is not None]
+    own_hits = [np.array([i for w in own for f in features(w[:64]) if (i := at.get(f)) is not None], dtype=np.int32) for d in sentences for own in d]
     del sentences
-    row, col = (np.array(x, dtype=np.int32) for x in (zip(*hits) if hits else ((), ())))
-    del hits
+    row, col = np.repeat(np.arange(len(own_hits), dtype=np.int32), [len(x) for x in own_hits]), np.concatenate([*own_hits, np.zeros(0, np.int32)])
+    del own_hits
     n, n_s, y = len(texts), len(doc), np.array(labels, dtype=bool)
     w, g2 = np.zeros(len(words)), np.full(len(words), 1e-6)
     bias, b2 = float(np.log(max(1e-4, y.mean()) * n / max(1, n_s))), 1e-6
@@ -81,16 +103,12 @@ def fit(texts: list[str], labels: list[int], l1: float = 2.0, steps: int = 150,
     return float(bias), {words[i]: float(w[i]) for i in np.nonzero(w)[0]}
 
 
-def document_score(text: str, bias: float, weights: dict[str, float]) -> tuple[float, list[tuple[int, int, float]]]:
+def document_score(text: str, bias: float, weights: WordWeights) -> tuple[float, list[tuple[int, int, float]]]:
     """The noisy-or, and the sentences at 0.5 or more as (start, end, p) in code points."""
     idle, mass, spans = float(np.logaddexp(0, bias)), 0.0, []
     for m in SENTENCE.finditer(text):
-        z = bias
-        hit = False
-        for x in set(WORD.findall(m[0].lower())) & weights.keys():
-            z += weights[x]
-            hit = True
-        if hit:
+        if extra := sum(map(weights.__getitem__, sorted(set(WORD.findall(m[0].lower()))))):
+            z = bias + extra
             mass += float(np.logaddexp(0, z))
             if z >= 0:
                 spans.append((m.start(), m.end(), float(1 / (1 + np.exp(-z)))))
@@ -103,13 +121,13 @@ def score(docs: DataFrame, model: tuple[float, dict[str, float]], keep_text: boo
     """docs with score (double) and offending (array of start, end, p): every sentence that is itself toxic."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)  # at most MODEL_WORDS words
+    shared = spark.sparkContext.broadcast(model)  # at most MODEL_FEATURES weights
     names = [c for c in docs.columns if c not in ("score", "offending") and (keep_text or c != "text")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names) + ", score double, offending array<struct<start:bigint,end:bigint,p:double>>"
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bias, weights = shared.value
+        bias, weights = shared.value[0], WordWeights(shared.value[1])
         for batch in batches:
             found = [document_score(t or "", bias, weights) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             extra = [pa.array([s for s, _ in found], pa.float64()), pa.array([[{"start": a, "end": b, "p": p} for a, b, p in spans] for _, spans in found], spans_type)]
@@ -118,7 +136,7 @@ def score(docs: DataFrame, model: tuple[float, dict[str, float]], keep_text: boo
     return docs.mapInArrow(scored, schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, keep_text: bool = True, max_docs: int = 8000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, keep_text: bool = True, max_docs: int = 6000) -> DataFrame:
     """docs with held_out, score, predicted and offending, by a model learnt from labels of rows not held out."""
     found = score(docs, fit(*sample(docs, labels, max_docs)), keep_text)
     return found.withColumns({"held_out": held_out(), "predicted": (F.col("score") >= 0.5).cast("int")})

@@ -38,7 +38,22 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.pii import find_personal_data
+
+    found = find_personal_data(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", F.coalesce(F.size("discovered"), F.lit(0)).cast("long").alias("n_discovered"))
+
+
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.html_extract import extract_main_text
+
+    return extract_main_text(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {
+    "op4_main_text": op4_main_text,
+    "op6_personal_data": op6_personal_data,
     "op8_toxicity": op8_toxicity,
     "op2_mix_sources": op2_mix_sources,
     "op5_token_counts": op5_token_counts,

@@ -56,7 +56,7 @@ def n_partitions(spark: SparkSession) -> int:
 
 def input_bytes(df: DataFrame) -> int:
     """The planner's size estimate of df's sources (file sizes for a scan)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -57,7 +57,15 @@ def op9_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(load(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.repeats import remove_repeats
+
+    found = remove_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", F.expr("aggregate(spans, 0L, (a, x) -> a + x.hi - x.lo)").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 QUERIES = {
+    "op3_remove_repeats": op3_remove_repeats,
     "op9_similar_documents": op9_similar_documents,
     "op4_main_text": op4_main_text,
     "op6_personal_data": op6_personal_data,

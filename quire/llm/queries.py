@@ -64,7 +64,22 @@ def op3_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", F.expr("aggregate(spans, 0L, (a, x) -> a + x.hi - x.lo)").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.ann import search
+
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.decontaminate import matches
+
+    return matches(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "edits", "rate", "first_word")
+
+
 QUERIES = {
+    "op10_decontaminate": op10_decontaminate,
+    "op1_nearest_neighbours": op1_nearest_neighbours,
     "op3_remove_repeats": op3_remove_repeats,
     "op9_similar_documents": op9_similar_documents,
     "op4_main_text": op4_main_text,

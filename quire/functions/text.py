@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Ligatures and their letters.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ft", "ﬆ": "st"}
@@ -91,7 +92,8 @@ def string_charset(text: Column) -> Column:
     """The charset of most characters; ties in the order latin, greek, numeral, punctuation, fallback."""
     names = [*CHARSETS, "fallback"]
     chars = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), char_charset)
-    counts = F.array(*[F.struct(F.size(F.filter(chars, lambda c, n=n: c == n)).alias("n"), F.lit(-i).alias("r"), F.lit(n).alias("name")) for i, n in enumerate(names)])
+    having = lambda n: F.size(F.filter(chars, lambda c: c == n))
+    counts = F.array(*[F.struct(having(n).alias("n"), F.lit(-i).alias("r"), F.lit(n).alias("name")) for i, n in enumerate(names)])
     return F.array_max(counts)["name"]
 
 
@@ -153,28 +155,28 @@ def trailing_off(reference: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, ",$", ""), r"\.$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfd(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFD", s))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def remove_diacritics(text: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining signs."""
     return text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def char_name(char: pd.Series) -> pd.Series:
     return char.map(lambda c: None if c is None else unicodedata.name(c, "") if len(c) == 1 else "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def combining_to_standalone(text: pd.Series) -> pd.Series:
     """A combining sign before a space becomes the spacing sign that decomposes into it."""
     spacing = {unicodedata.decomposition(c).split()[-1]: c for c in map(chr, range(0xA0, 0x2000)) if unicodedata.decomposition(c).startswith("<compat> 0020 ")}
@@ -210,6 +212,6 @@ def beta_code(s: str) -> str:
     return unicodedata.normalize("NFC", re.sub(r"σ(?![\ẁ-ͯ])", "ς", "".join(out)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def beta_to_greek(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else beta_code(s))

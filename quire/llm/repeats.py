@@ -3,8 +3,7 @@
 A byte goes if a `length`-byte string that covers it also starts earlier (smaller document, or earlier in the same
 one). Strings are brought together by winnowing: of the K-byte strings in any `length` bytes the one of least hash is an
 anchor, so equal strings share an anchor at the same place. Each anchor travels as (anchor hash, hash of its
-context, document, position), where the context is every string the anchor can speak for: `length` - K bytes before it to
-`length` bytes from its start. Packed arrays are dealt by anchor hash; an anchor whose whole context stood earlier needs no more.
+context, document, position), where the context is the union of the strings it is the anchor of. Packed arrays are dealt by anchor hash; an anchor whose whole context stood earlier needs no more.
 
 What is left, distinct contexts that share an anchor, goes through an index per bucket: the contexts are put in one text,
 its suffixes sorted to depth `length`, the Burrows-Wheeler transform cut into runs, and only the samples at the run heads kept: position
@@ -63,11 +62,22 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     least = sliding(small, w, np.minimum)
     padded = np.concatenate([np.zeros(w - 1, np.uint32), least, np.zeros(w - 1, np.uint32)])
     chosen = np.nonzero(sliding(padded, w, np.maximum) == small)[0]
+    # The windows an anchor is the least of are a run of equal minima; find each anchor's run among the few it can be in.
+    opens = np.nonzero(np.append(True, least[1:] != least[:-1]))[0]
+    closes, value = np.append(opens[1:], len(least)) - 1, least[opens]
+    run = np.searchsorted(closes, chosen - (w - 1))
+    own = small[chosen]
+    while True:
+        wrong = value[run] != own
+        if not wrong.any():
+            break
+        run[wrong] += 1
     doc = np.searchsorted(offsets, chosen, "right") - 1
     first, end = offsets[doc], offsets[doc + 1]
-    fits = (chosen + K <= end) & (end - first >= length)
-    chosen, doc, first, end = chosen[fits], doc[fits], first[fits], end[fits]
-    a, b = np.maximum(first, chosen - (length - K)), np.minimum(end, chosen + length)
+    a = np.maximum(np.maximum(opens[run], chosen - (w - 1)), first)
+    b = np.minimum(np.minimum(closes[run], chosen), end - length) + length
+    fits = b - a >= length
+    chosen, doc, first, a, b = chosen[fits], doc[fits], first[fits], a[fits], b[fits]
     return doc, chosen - first, gram[chosen], A.span_hash(h, a, b), chosen - a, b - chosen
 
 

@@ -91,7 +91,7 @@ def is_charset(text: Column, charset: str, share: float = 0.5, strict: bool = Fa
 def string_charset(text: Column) -> Column:
     """The charset of most characters; ties in the order latin, greek, numeral, punctuation, fallback."""
     names = [*CHARSETS, "fallback"]
-    chars = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), char_charset)
+    chars = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: char_charset(c))
     having = lambda n: F.size(F.filter(chars, lambda c: c == n))
     counts = F.array(*[F.struct(having(n).alias("n"), F.lit(-i).alias("r"), F.lit(n).alias("name")) for i, n in enumerate(names)])
     return F.array_max(counts)["name"]

@@ -4,9 +4,10 @@ Texts and items are sequences of words (A-Z lower-cased). A CGK random walk read
 by a random bit of the step and the word it is at, and so maps edit distance to Hamming distance: windows a few edits apart mostly read
 the same words at the same steps, once their walks have met again. REPEATS times, SAMPLED of the steps are sampled and the words read there
 hashed to a key; equal keys make a candidate. A pair with share h of differing steps is found with probability
-1 - (1 - (1 - h)**SAMPLED)**REPEATS, over 0.99 up to h = 0.3. Windows of an item's size start at every word of a text from
-which one of the items' word trigrams is near (within REACH words); others hold no stretch of three unedited words. Items are
-classed by length (4-7, 8-15, 16-31 words and so on), and a class samples only steps that its shortest item reaches.
+1 - (1 - (1 - h)**SAMPLED)**REPEATS, over 0.99 up to h = 0.3. Items are classed by length (4-7, 8-15, 16-31 words and so on), and a
+class samples only steps that its shortest item reaches. Windows of a class's size start at every word of a text from where
+a quarter as many of the items' word trigrams are met as the class has words: a stretch of 16 words with three edited ones
+still holds five of its fourteen trigrams.
 
 Each candidate is verified exactly: the least edit distance (characters, words joined by one space) between the item and the text from the
 window's start to any end, by Myers' bit-parallel recurrence; a match has at most max_rate edits per character of the item.
@@ -30,7 +31,6 @@ from quire.llm.common import ship
 
 U = np.uint64
 MIN_WORDS = 4
-REACH = 32
 WALKS = 4
 KEYS_PER_WALK = 4
 REPEATS = WALKS * KEYS_PER_WALK
@@ -40,6 +40,10 @@ GROUP_CHARS = 16 << 20
 TRIGRAM_BITS = 22
 
 
+#: A salt for each walk and step.
+salts = [[A.mix_one((number << 32) + j) for j in range(MOST_STEPS)] for number in range(WALKS)]
+
+
 def classed(n: int) -> int:
     """The class of an item of n words: the steps it can be sampled at."""
     return min(MOST_STEPS, 1 << (n.bit_length() - 1))
@@ -60,7 +64,7 @@ def walk(h: np.ndarray, start: np.ndarray, end: np.ndarray, steps: int, number:
         inside = at < end
         word = np.where(inside, h[np.minimum(at, last)], U(0))
         out[j] = word
-        salt = U(A.mix_one((number << 32) + j))
+        salt = U(salts[number][j])
         turned = (word ^ salt) * U(0xFF51AFD7ED558CCD)
         at += (turned >> U(63)).astype(np.int64)
     return out
@@ -109,8 +113,10 @@ class Items:
 
 
 def joined(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> str:
-    low = A.lower(raw)
-    return " ".join(low[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist()))
+    if not len(start):
+        return ""
+    low = A.lower(raw[start[0] : end[-1]])
+    return b" ".join(low[a:b].tobytes() for a, b in zip((start - start[0]).tolist(), (end - start[0]).tolist())).decode("utf-8", "replace")
 
 
 def prefix_distance(pattern: str, text: str) -> tuple[int, int]:
@@ -146,22 +152,27 @@ def find(items: Items, raw: np.ndarray, offsets: np.ndarray, max_rate: float, bi
     near = maybe[items.grams[np.minimum(np.searchsorted(items.grams, grams[maybe]), len(items.grams) - 1)] == grams[maybe]]
     if not len(near):
         return []
-    turn = np.zeros(len(h) + 1, np.int64)
-    np.add.at(turn, np.maximum(0, near - REACH), 1)
-    np.add.at(turn, near + 1, -1)
-    at = np.nonzero(np.cumsum(turn[:-1]) > 0)[0]
-    last = np.searchsorted(doc, doc[at], "right")
+    hits = np.zeros(len(h) + 1, np.int32)
+    hits[near + 1] = 1
+    hits = np.cumsum(hits)
     pairs: set[tuple[int, int]] = set()
-    steps = max(items.classes)
-    for number in range(WALKS):
-        read = walk(h, at, last, steps, number)
-        for c in items.classes:
-            for choice, sampled in enumerate(sampled_steps(c)[number]):
+    ends: dict[int, int] = {}
+    for c in sorted(items.classes):
+        # windows with enough of the items' trigrams among their first c words
+        ahead = np.minimum(np.arange(len(h)) + c, len(h))
+        at = np.nonzero(hits[ahead] - hits[:-1] >= max(1, c // 4))[0]
+        if not len(at):
+            continue
+        last = np.searchsorted(doc, doc[at], "right")
+        choices = sampled_steps(c)
+        for number in range(WALKS):
+            read = walk(h, at, last, c, number)
+            for choice, sampled in enumerate(choices[number]):
                 v = keys(read, number, c, choice, sampled)
                 hit = np.nonzero(items.keys[np.minimum(np.searchsorted(items.keys, v), len(items.keys) - 1)] == v)[0]
                 pairs.update((int(at[i]), item) for i in hit.tolist() for item in items.table[int(v[i])])
+        ends.update(zip(at.tolist(), last.tolist()))
     best: dict[tuple[int, int], tuple[int, int, int, float]] = {}
-    ends = dict(zip(at.tolist(), last.tolist()))
     for t, item in sorted(pairs):
         own, pattern = (int(doc[t]), item), items.patterns[item]
         if own in best and best[own][0] == 0:

@@ -119,7 +119,9 @@ def balanced_parts(near: np.ndarray, parts: int) -> np.ndarray:
 
 
 def fit(vectors: list[list[float]], recall: float = 0.97, k: int = 5) -> Router:
-    dim = Counter(map(len, vectors)).most_common(1)[0][0] if vectors else 0
+    if not vectors:
+        return Router(0, 1)
+    dim = Counter(map(len, vectors)).most_common(1)[0][0]
     x = np.array([v for v in vectors if len(v) == dim], float).reshape(-1, dim)
     x /= np.maximum(1e-300, np.sqrt((x * x).sum(1, keepdims=True)))
     parts = 1

@@ -112,7 +112,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, n_s
     rows = rows.withColumn("mix_copy", F.explode_outer(F.when(copies > 0, F.sequence(F.lit(0), copies - 1))))
     middle = F.col("mix_copy") * F.col("mix_source_size") + F.col("__at") + F.col("mix_size") / 2
     last = F.ceil(F.col("mix_target") / block_words) - 1
-    rows = rows.withColumn("__block", F.least(last, F.floor(middle / block_words)).cast("long"))
+    rows = rows.withColumn("__block", F.when(F.col("mix_copy").isNotNull(), F.least(last, F.floor(middle / block_words))).cast("long"))
     rows = rows.join(blocks.select(F.col("idx").alias("i4"), F.col("block").alias("b4"), F.col("shard").alias("mix_shard")), (F.col("__idx") == F.col("i4")) & (F.col("__block") == F.col("b4")), "left")
     rows = rows.withColumn("mix_order", F.when(F.col("mix_copy").isNotNull(), F.xxhash64(F.lit(seed + 1), F.col(doc_id), "mix_row", "mix_copy")))
     return rows.select(*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_copy", "mix_shard", "mix_order", "mix_row")

@@ -119,8 +119,9 @@ def joined(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> str:
     return b" ".join(low[a:b].tobytes() for a, b in zip((start - start[0]).tolist(), (end - start[0]).tolist())).decode("utf-8", "replace")
 
 
-def prefix_distance(pattern: str, text: str) -> tuple[int, int]:
-    """(least edit distance between pattern and a prefix of text, length of the shortest such prefix)."""
+def prefix_distance(pattern: str, text: str, allowed: int) -> tuple[int, int]:
+    """(least edit distance between pattern and a prefix of text, length of the shortest such prefix); given up, with more than
+    allowed, as soon as what is left of text can't bring it down that far."""
     m = len(pattern)
     if text.startswith(pattern):
         return 0, m
@@ -139,6 +140,8 @@ def prefix_distance(pattern: str, text: str) -> tuple[int, int]:
         plus, minus = h_minus | (full & ~(d0 | h_plus)), h_plus & d0
         if score < best:
             best, best_at = score, j
+        if score - (len(text) - j) > allowed < best:
+            break
     return best, best_at
 
 
@@ -181,7 +184,7 @@ def find(items: Items, raw: np.ndarray, offsets: np.ndarray, max_rate: float, bi
         most = len(pattern) + allowed
         # four bytes a character at most
         upto = min(ends[t], int(np.searchsorted(end, start[t] + 4 * most + 8)) + 1)
-        edits, length = prefix_distance(pattern, joined(raw, start[t:upto], end[t:upto])[: most + 1])
+        edits, length = prefix_distance(pattern, joined(raw, start[t:upto], end[t:upto])[: most + 1], allowed)
         if edits <= allowed and (own not in best or edits < best[own][0]):
             best[own] = (edits, t, length, edits / len(pattern))
     first = np.searchsorted(doc, np.arange(len(offsets) - 1))

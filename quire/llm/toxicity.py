@@ -13,6 +13,7 @@ Without any labelled row, or without a positive one, every score is 0. Rows that
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -72,18 +73,19 @@ def fit(texts: list[str], labels: list[int], l1: float = 1.0, steps: int = 200,
     if not texts or not any(labels):
         return -50.0, {}
     found: Counter = Counter()
-    sentences: list[list[set[str]]] = []
     for t in texts:
-        own = [set(WORD.findall(s)) for s in SENTENCE.findall(t.lower())]
-        sentences.append(own)
-        found.update({f for w in (set().union(*own) if own else ()) for f in features(w[:64])})
-    words = [w for w, n in found.most_common(MODEL_FEATURES) if n >= min_docs]
+        found.update({f for w in set(WORD.findall(t.lower())) for f in features(w[:64])})
+    words = [w for w, n in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:MODEL_FEATURES] if n >= min_docs]
+    del found
     at = {w: i for i, w in enumerate(words)}
-    doc = np.array([d for d, own in enumerate(sentences) for _ in own], dtype=np.int32)
-    own_hits = [np.array([i for w in own for f in features(w[:64]) if (i := at.get(f)) is not None], dtype=np.int32) for d in sentences for own in d]
-    del sentences
-    row, col = np.repeat(np.arange(len(own_hits), dtype=np.int32), [len(x) for x in own_hits]), np.concatenate([*own_hits, np.zeros(0, np.int32)])
-    del own_hits
+    doc_of, hits = array("i"), []
+    for d, t in enumerate(texts):
+        for s in SENTENCE.findall(t.lower()):
+            doc_of.append(d)
+            hits.append(np.array([i for w in sorted(set(WORD.findall(s))) for f in features(w[:64]) if (i := at.get(f)) is not None], dtype=np.int32))
+    doc = np.array(doc_of, dtype=np.int32)
+    row, col = np.repeat(np.arange(len(hits), dtype=np.int32), [len(x) for x in hits]), np.concatenate([*hits, np.zeros(0, np.int32)])
+    del hits
     n, n_s, y = len(texts), len(doc), np.array(labels, dtype=bool)
     w, g2 = np.zeros(len(words)), np.full(len(words), 1e-6)
     bias, b2 = float(np.log(max(1e-4, y.mean()) * n / max(1, n_s))), 1e-6

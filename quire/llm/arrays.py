@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 U64 = np.uint64
 

@@ -10,8 +10,8 @@ left with D or fewer non-zero segments also joins by the |A| - ceil(0.75 |A|) +
 any similar set that is in the same position shares. Candidates are checked on 1024-bit parity sketches, then on the sets.
 
 Equal sets are one class from the start, so groups of exact copies never meet pairwise. In a group of more than GROUP
-classes, all are compared with the least; classes that end up in different components although they share such a group are
-compared in a second round. Signatures travel as packed arrays, a few rows per task.
+classes, each is first tried with the next in an order that differs from group to group, in every SPARSE-th group; each candidate of a small group is tried with one other. Then all pairs of candidates, and of members of a large group, that are still in different components are verified. Pairs within a component
+need no verifying, as the result is components. Signatures travel as packed arrays, a few rows per task.
 
 Null and empty texts have no set and are linked with nothing; a text of fewer than five words is one shingle. Rows
 without a doc_id are linked with nothing and have a null component. Rows that repeat a doc_id are documents of their own
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import arrays as A
@@ -36,10 +36,16 @@ from quire.llm.components import components
 U = np.uint64
 SHINGLE = 5
 SKETCH_BITS = 1024
-GROUP = 24
-HOT_LOCAL, HOT_TOTAL, HOT_MOST = 8, 48, 1 << 18
+GROUP = 8
+#: Rounds of chaining large groups; the first takes every SPARSE-th group.
+ROUNDS, SPARSE = 1, 2
+#: A size class: sizes whose ratio may be 4/3 are SIZE_APART classes apart at most.
+SIZE_STEP, SIZE_APART = 1.05, 7
+HOT_LOCAL, HOT_TOTAL, HOT_MOST = 2, 16, 1 << 19
 HOT_BITS = 24
 BUCKET_BYTES = 8 << 20
+BROADCAST_IDS = 1_000_000
+MEMBER_MASK = (1 << 40) - 1
 SALT_SEGMENT, SALT_VALUE, SALT_ORDER, SALT_RARE = (U(x) for x in (0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x2545F4914F6CDD1D, 0x6C62272E07BB0142))
 
 
@@ -122,14 +128,14 @@ def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fresh = np.zeros(end - first, bool)
             u, at = np.unique(cls, return_index=True)
             fresh[[i for c, i in zip(u.tolist(), at.tolist()) if c not in known]] = True
-            if len(known) < 500_000:
+            if len(known) < 200_000:
                 known.update(u.tolist())
             u, c = np.unique(s[fresh[d]], return_counts=True)
             held.append((u[c > 1], c[c > 1]))
             size += int((c > 1).sum())
-            if size > 2_000_000:
-                u, c = merged()
-                held, size = [(u[c > 2], c[c > 2])], 0
+            if size > 1_000_000:
+                held = [merged()]
+                size = 0
     if held:
         u, c = merged()
         u, c = u[c >= HOT_LOCAL], c[c >= HOT_LOCAL]
@@ -185,34 +191,34 @@ def signatures(d: np.ndarray, s: np.ndarray, n: np.ndarray, hot: np.ndarray) ->
     return np.concatenate(out_d), np.concatenate(out_v)
 
 
-def pack(d: np.ndarray, v: np.ndarray, cls: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """(bucket, signatures, classes) with 5-byte signatures beside the bucket."""
+def pack(v: np.ndarray, cls: np.ndarray, q: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(bucket, signatures, classes, size classes) with 5-byte signatures beside the bucket."""
     where = ((v >> U(40)) % U(buckets)).astype(np.int64)
     order = np.argsort(where, kind="stable")
     cuts = np.searchsorted(where[order], np.arange(buckets + 1))
     low = np.ascontiguousarray(v[order]).view(np.uint8).reshape(-1, 8)[:, :5]
-    own = cls[d[order]]
+    own, q = cls[order], q[order]
     for b in np.nonzero(np.diff(cuts))[0]:
         a, e = cuts[b], cuts[b + 1]
-        yield int(b), low[a:e].tobytes(), own[a:e].tobytes()
+        yield int(b), low[a:e].tobytes(), own[a:e].tobytes(), q[a:e].tobytes()
 
 
-def unpack(signatures: list[bytes], owners: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def unpack(signatures: list[bytes], owners: list[bytes], sizes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"".join(signatures), np.uint8).reshape(-1, 5)
     wide = np.zeros((len(raw), 8), np.uint8)
     wide[:, :5] = raw
-    return wide.view(U).ravel(), np.frombuffer(b"".join(owners), U)
+    return wide.view(U).ravel(), np.frombuffer(b"".join(owners), U), np.frombuffer(b"".join(sizes), np.uint8).astype(np.int16)
 
 
 def meet(frame: pd.DataFrame) -> pd.DataFrame:
     """Candidate pairs (kind 0) of one bucket; members of large groups (kind 1: a is the group)."""
-    v, cls = unpack(frame["signatures"].tolist(), frame["owners"].tolist())
+    v, cls, q = unpack(frame["signatures"].tolist(), frame["owners"].tolist(), frame["sizes"].tolist())
     bucket = int(frame["bucket"].iloc[0])
     order = np.lexsort((cls, v))
-    v, cls = v[order], cls[order]
+    v, cls, q = v[order], cls[order], q[order]
     keep = np.ones(len(v), bool)
     keep[1:] = (v[1:] != v[:-1]) | (cls[1:] != cls[:-1])
-    v, cls = v[keep], cls[keep]
+    v, cls, q = v[keep], cls[keep], q[keep]
     opens = np.ones(len(v), bool)
     opens[1:] = v[1:] != v[:-1]
     start = np.nonzero(opens)[0]
@@ -224,14 +230,12 @@ def meet(frame: pd.DataFrame) -> pd.DataFrame:
             continue
         m = n0 - step
         at = np.repeat(s0, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        at = at[np.abs(q[at] - q[at + step]) <= SIZE_APART]
         pairs.append((cls[at], cls[at + step]))
     s0, n0 = start[size > GROUP], size[size > GROUP]
     members = np.zeros(0, np.int64)
     if len(s0):
-        m = n0 - 1
         members = np.repeat(s0, n0) + np.arange(n0.sum()) - np.repeat(np.cumsum(n0) - n0, n0)
-        at = np.repeat(s0, m) + 1 + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-        pairs.append((cls[np.repeat(s0, m)], cls[at]))
     a, b = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, U) for i in (0, 1))
     if len(a):
         both = np.unique(np.stack([a, b], 1), axis=0)
@@ -240,29 +244,43 @@ def meet(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"kind": np.repeat(np.array([0, 1], np.int32), [len(a), len(members)]), "a": A.signed(np.concatenate([a, group])), "b": A.signed(np.concatenate([b, cls[members]]))})
 
 
-def across(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of classes of one large group that are in different components and near enough in size."""
-    frame = frame.sort_values("n")
-    cls, comp, n = frame["b"].to_numpy(), frame["component"].to_numpy(), frame["n"].to_numpy()
-    out_a, out_b = [], []
-    for i in range(len(cls) - 1):
-        end = int(np.searchsorted(3 * n, 4 * n[i], "right"))
-        j = np.arange(i + 1, end)
-        j = j[comp[j] != comp[i]]
-        out_a.append(np.minimum(cls[i], cls[j]))
-        out_b.append(np.maximum(cls[i], cls[j]))
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-    return pd.DataFrame({"a": a, "b": b})
+def sketch_distance(a: str, b: str):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
 
 
-def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b) of the candidate pairs (distinct class pairs) that link. known: class, n, sketch, rep."""
+def chained(members: DataFrame, turn: int) -> DataFrame:
+    """Each member of a large group (a: group, b: class) with the next in an order of its own for every group and turn."""
+    after = Window.partitionBy("a").orderBy(F.xxhash64("a", "b", F.lit(turn)), "b")
+    o = members.select("b", "n", "component", *[F.lead(c).over(after).alias("o_" + c) for c in ("b", "n", "component")])
+    o = o.filter("component <> o_component and 3 * greatest(n, o_n) <= 4 * least(n, o_n)")
+    return o.select(F.least("b", "o_b").alias("a"), F.greatest("b", "o_b").alias("b"))
+
+
+def across(members: DataFrame) -> DataFrame:
+    """All pairs of members of one large group that are in different components and that sizes and sketches allow.
+
+    Of each such pair one at least is outside the group's commonest component: only those meet all the others.
+    """
+    sizes = members.groupBy("a", "component").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("a").agg(F.max(F.struct("k", "component")).alias("m")).select("a", F.col("m.component").alias("main"))
+    few = members.join(main, "a").filter("component <> main").select("a", *[F.col(c).alias("o_" + c) for c in ("b", "n", "component", "sketch")])
+    near = F.expr("component <> o_component and 3 * greatest(n, o_n) <= 4 * least(n, o_n)") & (7 * sketch_distance("sketch", "o_sketch") <= F.col("n") + F.col("o_n"))
+    pairs = few.join(members, "a").filter(near)
+    return pairs.select(F.least("b", "o_b").alias("a"), F.greatest("b", "o_b").alias("b"))
+
+
+def sketched(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The distinct candidate pairs that sizes and sketches allow. known: class, n, sketch, rep."""
     side = lambda x: known.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b")
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = cut(near.filter((3 * F.greatest("na", "nb") <= 4 * F.least("na", "nb")) & (7 * apart <= F.col("na") + F.col("nb"))).select("a", "b"))
-    needed = near.select(F.col("a").alias("class")).union(near.select(F.col("b"))).distinct().join(known, "class").select(F.col("rep").alias("__rep"), F.col("class").alias("__class"))
-    wanted = docs.join(needed, F.col("doc_id") == F.col("__rep")).select("__class", "text")
+    return cut(near.filter((3 * F.greatest("na", "nb") <= 4 * F.least("na", "nb")) & (7 * sketch_distance("sa", "sb") <= F.col("na") + F.col("nb"))).select("a", "b"))
+
+
+def whole_sets(needed: DataFrame, docs: DataFrame) -> DataFrame:
+    """(class, members) of the asked classes, 40 bits a shingle. needed: class, rep. Texts are shuffled only if the classes are too many to broadcast."""
+    needed = cut(needed.select(F.col("rep").alias("__rep"), F.col("class").alias("__class")))
+    small = needed.count() <= BROADCAST_IDS
+    wanted = docs.join(F.broadcast(needed) if small else needed, F.col("doc_id") == F.col("__rep")).select("__class", "text")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,16 +290,25 @@ def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
                 own = np.array(batch.column(0).slice(first, end - first).to_pylist(), np.int64)
                 cuts = np.searchsorted(d, np.arange(end - first + 1))
                 good = np.nonzero(A.signed(cls) == own)[0]
-                yield pa.RecordBatch.from_arrays([pa.array(own[good]), pa.array([s[cuts[i] : cuts[i + 1]].tobytes() for i in good], pa.binary())], names=["class", "members"])
+                packed = [np.unique(s[cuts[i] : cuts[i + 1]] & U(MEMBER_MASK)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for i in good]
+                yield pa.RecordBatch.from_arrays([pa.array(own[good]), pa.array(packed, pa.binary())], names=["class", "members"])
+
+    return cut(wanted.mapInArrow(members, "class long, members binary"))
+
+
+def verified(near: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs that link, by their whole sets."""
 
-    found = cut(wanted.mapInArrow(members, "class long, members binary").dropDuplicates(["class"]))
+    def wide(raw: bytes) -> np.ndarray:
+        out = np.zeros((len(raw) // 5, 8), np.uint8)
+        out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+        return out.view(U).ravel()
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             keep = []
-            for x, y in zip(a, b):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+            for x, y in zip(batch.column(2), batch.column(3)):  # one pair at a time: a batch of sets is large
+                x, y = wide(x.as_py()), wide(y.as_py())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= 75 * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -291,7 +318,7 @@ def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class, component_id and links (similar classes), a row for each row of docs."""
+    """doc_id, n_shingles, class and component_id, a row for each row of docs."""
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -310,10 +337,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            v, cls = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-            out = list(pack(np.arange(len(v)), v, cls, buckets))
+            out = list(pack(*(np.concatenate([x[i] for x in held]) for i in range(3)), buckets))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "signatures", "owners"])
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "signatures", "owners", "sizes"])
 
         for batch in batches:
             for first, end, data, offsets in A.groups(batch.column(0)):
@@ -329,26 +355,42 @@ def similar_documents(docs: DataFrame) -> DataFrame:
                     at = np.searchsorted(hot_list, s[maybe])
                     hot[maybe] = hot_list[np.minimum(at, len(hot_list) - 1)] == s[maybe]
                 who, v = signatures(d, s, np.where(once, n, 0), hot)
-                held.append((v, cls[who]))
-                if sum(len(x) for x, _ in held) > 1_000_000:
+                q = (np.log(np.maximum(n, 1)) / np.log(SIZE_STEP)).astype(np.uint16)
+                held.append((v, cls[who], np.minimum(q, 255).astype(np.uint8)[who]))
+                if sum(len(x[0]) for x in held) > 1_000_000:
                     yield flush()
-        if held and sum(len(x) for x, _ in held):
+        if held and sum(len(x[0]) for x in held):
             yield flush()
 
-    packed = texts.filter("doc_id is not null").select("text").mapInArrow(signed_rows, "bucket int, signatures binary, owners binary")
+    packed = texts.filter("doc_id is not null").select("text").mapInArrow(signed_rows, "bucket int, signatures binary, owners binary, sizes binary")
     met = cut(packed.groupBy("bucket").applyInPandas(meet, "kind int, a long, b long"))
     free_shuffles(spark)
-    links = verified(met.filter("kind = 0").select("a", "b").distinct(), known, texts)
-    large = met.filter("kind = 1").select("a", "b")
-    if not large.isEmpty():
-        found = components(links)
-        placed = large.join(found, large.b == found.node, "left").select("a", "b", F.coalesce("component", "b").alias("component")).join(known.select(F.col("class").alias("b"), "n"), "b")
-        torn = placed.groupBy("a").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("a")
-        more = placed.join(torn, "a").select("a", "b", "component", "n").groupBy("a").applyInPandas(across, "a long, b long").distinct()
-        links = links.union(verified(cut(more), known, texts))
-    found = components(links).join(known.select(F.col("class").alias("node"), "rep"), "node")
+    near = sketched(met.filter("kind = 0").select("a", "b").distinct(), known)
+    large = cut(met.filter("kind = 1").select("a", "b").join(known.select(F.col("class").alias("b"), "n"), "b").select("a", "b", "n"))
+    asked = near.select(F.col("a").alias("class")).union(near.select("b")).union(large.select("b")).distinct()
+    whole = whole_sets(asked.join(known, "class").select("class", "rep"), texts)
+    # First each class with one candidate, and members of large groups with a few others; then what is still apart.
+    both = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    tried = both.groupBy("b").agg(F.min("a").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links, placed = None, large.select(F.col("b").alias("node"), F.col("b").alias("component")).limit(0)
+    for turn in range(ROUNDS + 1):
+        apart = large.join(placed, F.col("b") == F.col("node"), "left").select("a", "b", "n", F.coalesce("component", "b").alias("component"))
+        torn = apart.groupBy("a").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("a")
+        torn = apart.join(torn, "a").select("a", "b", "n", "component")
+        if turn == ROUNDS:
+            place = lambda x: placed.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))  # noqa: B023, E731
+            rest = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(place("a"), "a", "left").join(place("b"), "b", "left")
+            torn = torn.join(known.select(F.col("class").alias("b"), "sketch"), "b")
+            pairs = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").union(across(torn))
+        else:
+            pairs = chained(torn if turn else torn.filter(F.pmod("a", F.lit(SPARSE)) == 0), turn)
+            pairs = pairs.union(tried) if turn == 0 else pairs
+        new = verified(sketched(pairs.distinct(), known), whole)
+        links = new if links is None else links.union(new)
+        placed = components(links)
+        free_shuffles(spark)
+    found = placed.join(known.select(F.col("class").alias("node"), "rep"), "node")
     least = found.groupBy("component").agg(F.min("rep").alias("component_id"))
-    degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("links"))
-    by_class = found.join(least, "component").select(F.col("node").alias("class"), "component_id").join(degree.withColumnRenamed("a", "class"), "class", "left")
-    homes = known.select("class", "rep").join(by_class, "class", "left").select("class", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    return rows.join(homes, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), "class", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    by_class = found.join(least, "component").select(F.col("node").alias("class"), "component_id")
+    homes = known.select("class", "rep").join(by_class, "class", "left").select("class", F.coalesce("component_id", "rep").alias("component_id"))
+    return rows.join(homes, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), "class", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -271,6 +272,35 @@ def test_decontamination(spark):
     assert decontaminate.matches(awkward(spark), bench).count() == 0 and decontaminate.matches(awkward(spark), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefgh", "aeñó€"])
+def test_decontamination_spread_edits(alphabet):
+    """Up to one edit in ten characters, spread over the words: all that brute force finds, and nothing else."""
+    random.seed(10)
+    voc = ["".join(random.choice(alphabet) for _ in range(random.randint(2, 7))) for _ in range(60)]
+    prose = lambda n: " ".join(random.choice(voc) for _ in range(n))
+    items = [prose(random.choice([4, 5, 8, 16, 30])) for _ in range(25)]
+    texts = ["", "a", items[3]]
+    for i in range(100):
+        item = list(items[i % 25])
+        edits = len(item) // 10 + (i % 4 == 3)
+        for j in range(edits):
+            at = len(item) * j // edits + random.randrange(5)
+            item[at : at + 1] = random.choice([["Z"], [], [item[at], "z"], ["ß"]]) if at < len(item) else []
+        texts.append(f"{prose(random.randint(0, 12))} {''.join(item)}\n{prose(3)}")
+    want = {}
+    for d, text in enumerate(texts):
+        words = text.lower().split()
+        for k, item in enumerate(items):
+            tried = [(decontaminate.prefix_distance(item, " ".join(words[t:]), len(item))[0], t) for t in range(len(words))]
+            if tried and 10 * min(tried)[0] <= len(item):
+                want[d, k] = min(tried)[::-1]
+    found = {}
+    built = decontaminate.Items(list(range(25)), items, 0.1)
+    for first, _, raw, offsets in decontaminate.A.groups(pa.array(texts)):
+        found |= {(first + d, k): (t, edits) for d, k, t, _, edits, _ in decontaminate.find(built, raw, offsets, 0.1)}
+    assert len(want) > 70 and found == want
+
+
 def test_prefix_distance():
     random.seed(9)
     for _ in range(300):

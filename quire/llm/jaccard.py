@@ -6,7 +6,7 @@ at most D = (|A| + |B|) / 7. Sizes fall into bands [2^i, 2^(i+1)); a band cuts t
 joined in its own band and, if a partner can be smaller than 2^i, in the band below. D differing bits spoil at
 most D segments, so two similar sets share one of the first D + 1 non-zero segments of either (kept as XOR fingerprints).
 Shingles frequent in the corpus (a bounded list, found by map-side counts over all documents) stay out of the segments; a set
-left with D or fewer non-zero segments also joins by the |A| - ceil(0.75 |A|) + 1 first of its shingles, rare ones first, which
+left with D or fewer non-zero segments in either band also joins by the |A| - ceil(0.75 |A|) + 1 first of its shingles, rare ones first, which
 any similar set that is in the same position shares. Candidates are checked on 1024-bit parity sketches, then on the sets.
 
 Equal sets are one class from the start, so groups of exact copies never meet pairwise. In a group of more than GROUP
@@ -172,11 +172,12 @@ def signatures(d: np.ndarray, s: np.ndarray, n: np.ndarray, hot: np.ndarray) ->
     out_d, out_v = [d1], [v1]
     below = (3 * size < 4 * low) & (band > 0)
     pick = below[cool_d]
-    if pick.any():
-        d2, v2, _ = nonzero_segments(cool_d[pick], cool_s[pick], np.maximum(low // 2, 1), (size + low - 1) // 7 + 1, band - 1)
-        out_d.append(d2)
-        out_v.append(v2)
-    poor = (filled < most) & (n > 0)
+    most_below = (size + low - 1) // 7 + 1
+    d2, v2, filled_below = nonzero_segments(cool_d[pick], cool_s[pick], np.maximum(low // 2, 1), most_below, band - 1)
+    out_d.append(d2)
+    out_v.append(v2)
+    # in either band: a partner that is poor there is met by shingles only
+    poor = ((filled < most) | (below & (filled_below < most_below))) & (n > 0)
     pick = poor[d]
     if pick.any():
         d3, s3, h3 = d[pick], s[pick], hot[pick]

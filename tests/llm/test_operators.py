@@ -243,6 +243,34 @@ def test_jaccard(spark, seed):
     assert got == {i: (len(sets[i]), root(i)) for i in ids}
 
 
+def test_jaccard_short_beginnings(spark):
+    """Texts of eight words and their first seven: three of four shingles, in the band below."""
+    random.seed(3)
+    rows = []
+    for i in range(0, 800, 2):
+        words = [f"w{random.randrange(10**6)}" for _ in range(8)]
+        rows += [(i, " ".join(words), "x"), (i + 1, " ".join(words[:7]), "x")]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(docs_of(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(800)}
+
+
+@pytest.mark.parametrize("share", [0.0, 0.5, 0.8, 1.0])
+def test_jaccard_signatures_meet(share):
+    """Sets of similarity 0.75 and more share a signature, within a band and across two, however many of their shingles are frequent."""
+    rng = np.random.default_rng(4)
+    for _ in range(1500):
+        low = int(rng.choice([4, 8, 16, 32, 64]))
+        large = int(rng.integers(low, 4 * low // 3 + 1))
+        small = int(rng.integers(-(-3 * large // 4), large + 1))
+        whole = np.unique(rng.integers(0, 2**63, large).astype(np.uint64))
+        frequent = whole[rng.random(len(whole)) < share]
+        signed = []
+        for part in (whole, np.sort(rng.permutation(whole)[:small])):
+            d = np.zeros(len(part), np.int64)
+            signed.append(set(jaccard.signatures(d, part, np.array([len(part)]), np.isin(part, frequent))[1].tolist()))
+        assert signed[0] & signed[1], (large, small)
+
+
 def test_jaccard_awkward(spark):
     out = jaccard.similar_documents(awkward(spark)).collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in out if r["doc_id"] is not None) == [(1, 1), (1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 6)]

@@ -1,5 +1,10 @@
 """Golden values of intervals, boxes, charsets and evaluation."""
 
+import os
+import random
+
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
@@ -82,3 +87,52 @@ def test_order():
 
 def test_chunks(spark):
     assert one(spark, D.chunk_count(F.lit(1000), 400, 100), D.chunk_padding(F.lit(1000), 400, 100)) == (3, 0)
+
+
+def test_pages_by_index():
+    """The indexed page algorithms against plain loops."""
+    rng = random.Random(6)
+    for _ in range(60):
+        gt, pred = (["".join(rng.choice("ab") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 25))] for _ in range(2))
+        left, true, total = list(pred), 0, 0
+        for word in gt:
+            if left:
+                d, i = min((E.distance(word, w), i) for i, w in enumerate(left))
+                true, total = true + (d == 0), total + d
+                left.pop(i)
+            else:
+                total += len(word)
+        assert E.bag_of_words(gt, pred) == (len(gt), len(pred), true, sum(map(len, gt)), total + sum(map(len, left)))
+
+        boxes = [(x, y, x + rng.randint(0, 30), y + rng.randint(0, 90)) for x, y in ((rng.randint(0, 60), rng.randint(0, 300)) for _ in range(60))]
+        left, want = sorted(range(60), key=lambda i: boxes[i][1]), []
+        while left:
+            top = boxes[left[0]]
+            shared = lambda b: max(0, min(top[3], b[3]) + 1 - max(top[1], b[1]))  # noqa: B023, E731
+            level = [i for i in left if i == left[0] or shared(boxes[i]) > 0.6 * min(top[3] - top[1] + 1, boxes[i][3] - boxes[i][1] + 1)]
+            want.append(min(level, key=lambda i: boxes[i][0]))
+            left.remove(want[-1])
+        assert L.in_reading_order(boxes) == want
+
+        frame = pd.DataFrame([("gt" if i < 30 else "pred", i, *b) for i, b in enumerate(boxes)], columns=["side", "n", "x1", "y1", "x2", "y2"])
+        left, want = list(range(30, 60)), []
+        for i in range(30):
+            k = next((k for k in left if L.iou_of(boxes[i], boxes[k]) >= 0.1), None)
+            if k is not None:
+                want.append((i, k))
+                left.remove(k)
+        assert E.greedy_boxes(frame, 0.1) == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_whole_pages(spark):
+    """Bag of words, greedy boxes and reading order take every word of a page."""
+    from quire.plans import eval_queries as Q
+    from quire.plans import model as M
+
+    d = "/root/testdata/sf0.001"
+    n = M.words(M.table(spark, d, "documents")).count()
+    assert Q.reading_order(spark, d).count() == n
+    assert Q.bag_of_words(spark, d).first()["gt_words"] == n
+    pairs = Q.greedy_boxes(spark, d)
+    assert pairs.agg(F.max("gt_n")).first()[0] > 0.9 * n / M.table(spark, d, "documents").select("source").distinct().count()

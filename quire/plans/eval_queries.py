@@ -17,8 +17,10 @@ from quire.plans.registry import query
 LINE_PAIRS = "pairs AS (SELECT doc_id, line_idx, a AS gt, translate(a, 'eao', 'coa') || CASE WHEN line_idx % 3 = 0 THEN ' x' ELSE '' END AS ocr FROM (SELECT doc_id, line_idx, left(regexp_replace(line, '[^ -~]', '', 'g'), 60) AS a FROM ln) WHERE a <> '')"
 
 
-def line_pairs(spark, d):
-    a = F.left(F.regexp_replace("line", "[^ -~]", ""), F.lit(60))
+def line_pairs(spark, d, whole=False):
+    """Lines cut to 60 characters, as in LINE_PAIRS, or whole ones."""
+    a = F.regexp_replace("line", "[^ -~]", "")
+    a = a if whole else F.left(a, F.lit(60))
     ls = M.lines(table(spark, d, "documents")).select("doc_id", "line_idx", a.alias("gt")).filter("gt <> ''")
     return ls.withColumn("ocr", F.concat(F.translate("gt", "eao", "coa"), F.when(F.col("line_idx") % 3 == 0, " x").otherwise("")))
 
@@ -40,7 +42,7 @@ def word_error_rate(spark, d):
 @query("a04_line_record")
 def line_record(spark, d):
     """A-04: the whole record by line, words' distances included."""
-    return E.line_errors(line_pairs(spark, d))
+    return E.line_errors(line_pairs(spark, d, whole=True))
 
 
 @query("a05_edit_histogram")

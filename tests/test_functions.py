@@ -136,3 +136,14 @@ def test_whole_pages(spark):
     assert Q.bag_of_words(spark, d).first()["gt_words"] == n
     pairs = Q.greedy_boxes(spark, d)
     assert pairs.agg(F.max("gt_n")).first()[0] > 0.9 * n / M.table(spark, d, "documents").select("source").distinct().count()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_whole_lines(spark):
+    """The record by line reads lines beyond 60 characters."""
+    from quire.plans import eval_queries as Q
+
+    pairs = Q.line_pairs(spark, "/root/testdata/sf0.001", whole=True)
+    assert pairs.agg(F.max(F.char_length("gt"))).first()[0] > 60
+    record = Q.line_record(spark, "/root/testdata/sf0.001")
+    assert record.agg(F.max(F.char_length("gt"))).first()[0] == pairs.agg(F.max(F.char_length("gt"))).first()[0]

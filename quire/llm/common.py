@@ -33,17 +33,44 @@ def unit_hash(*cols: Column) -> Column:
     return F.xxhash64(*cols).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one set by setCheckpointDir.
+
+    Where neither is set a local session gets one of its own; on a cluster that is an error, as executors would not see it.
+    """
+    sc = spark.sparkContext
+    given, held = spark.conf.get("spark.checkpoint.dir", None), sc._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return given or held.get()
+    if not given and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: it has to name a folder that driver and executors share")
+    sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+    return given or sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Store df in the checkpoint folder all executors share and go on from there.
 
-    spark.checkpoint.dir is the session's; a folder of our own is set only where it is unset.
+    shared_folder() says which one.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def cut_dealt(df: DataFrame) -> DataFrame:
+    """cut(), remembering how the last shuffle dealt df out, so that joins on its keys need not shuffle it again.
+
+    Adaptive plans forget that: they are off while df is stored.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return cut(df)
+    finally:
+        conf.set(name, before)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files that no live plan refers to any more."""
     gc.collect()

@@ -7,11 +7,17 @@ joined in its own band and, if a partner can be smaller than 2^i, in the band be
 most D segments, so two similar sets share one of the first D + 1 non-zero segments of either (kept as XOR fingerprints).
 Shingles frequent in the corpus (a bounded list, found by map-side counts over all documents) stay out of the segments; a set
 left with D or fewer non-zero segments in either band also joins by the |A| - ceil(0.75 |A|) + 1 first of its shingles, rare ones first, which
-any similar set that is in the same position shares. Candidates are checked on 1024-bit parity sketches, then on the sets.
+any similar set that is in the same position shares. Candidates are checked on parity sketches of more bits than the set has members, then on
+the sets. A sketch folds to half its bits by XOR, so that sets of neighbouring bands compare.
 
 Equal sets are one class from the start, so groups of exact copies never meet pairwise. In a group of more than GROUP
-classes, each is first tried with the next in an order that differs from group to group, in every SPARSE-th group; each candidate of a small group is tried with one other. Then all pairs of candidates, and of members of a large group, that are still in different components are verified. Pairs within a component
-need no verifying, as the result is components. Signatures travel as packed arrays, a few rows per task.
+classes, each is first tried with the next in an order that differs from group to group, in every SPARSE-th group; each candidate of a small
+group is tried with one other. Then one member of each component found is tried with the next component's. Then all pairs of candidates, and of members of a large group, that are still in different components are
+verified. Pairs within a component need no verifying, as the result is components. Signatures travel as packed arrays, a few rows per task.
+
+No key is one task's work: a signature that more than LOCAL_GROUP classes of a flush hold goes out as members at once, dealt by flush (a mark
+tells its bucket, so that the others it has there become members too); members are chained by blocks of BLOCK, and joined with
+their group by salts. Sets to verify are found by a bitmap of bounded size, so that texts are never shuffled.
 
 Null and empty texts have no set and are linked with nothing; a text of fewer than five words is one shingle. Rows
 without a doc_id are linked with nothing and have a null component. Rows that repeat a doc_id are documents of their own
@@ -30,22 +36,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import arrays as A
-from quire.llm.common import cut, free_shuffles, input_bytes, n_partitions, ship
+from quire.llm.common import cut, cut_dealt, free_shuffles, n_partitions, ship
 from quire.llm.components import components
 
 U = np.uint64
 SHINGLE = 5
-SKETCH_BITS = 1024
 GROUP = 8
-#: Rounds of chaining large groups; the first takes every SPARSE-th group.
-ROUNDS, SPARSE = 1, 2
+#: Classes of a flush that make a signature hot there; members to a block of a chain; parts that a group is dealt to in joins; members to a part of a group
+#: that meets those outside its main component.
+LOCAL_GROUP, BLOCK, SALTS, PART = 64, 1024, 32, 4096
+#: Rounds of chaining large groups: members of every SPARSE-th group, then one member of each component a group has two members of.
+ROUNDS, SPARSE = 2, 2
 #: A size class: sizes whose ratio may be 4/3 are SIZE_APART classes apart at most.
 SIZE_STEP, SIZE_APART = 1.05, 7
 HOT_LOCAL, HOT_TOTAL, HOT_MOST = 2, 16, 1 << 19
 HOT_BITS = 24
 BUCKET_BYTES = 8 << 20
-BROADCAST_IDS = 1_000_000
-MEMBER_MASK = (1 << 40) - 1
+#: Bits to a class in the bitmap of those to verify, and bits at most (32 MiB): beyond that it lets more of the others pass.
+BITMAP_RATE, BITMAP_BITS = 16, 1 << 28
 SALT_SEGMENT, SALT_VALUE, SALT_ORDER, SALT_RARE = (U(x) for x in (0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x2545F4914F6CDD1D, 0x6C62272E07BB0142))
 
 
@@ -94,15 +102,17 @@ def classes(d: np.ndarray, s: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.n
     return n, out
 
 
-def sketches(d: np.ndarray, s: np.ndarray, n_docs: int) -> np.ndarray:
-    """Parity sketches, SKETCH_BITS / 64 words a document."""
-    out = np.zeros((n_docs, SKETCH_BITS // 64), np.int64)
-    for first in range(0, n_docs, 4096):
-        a, b = np.searchsorted(d, [first, first + 4096])
-        m = min(4096, n_docs - first)
-        bits = np.bincount((d[a:b] - first) * SKETCH_BITS + (s[a:b] % U(SKETCH_BITS)).astype(np.int64), minlength=m * SKETCH_BITS) & 1
-        out[first : first + m] = np.packbits(bits.astype(np.uint8).reshape(m, -1), axis=1).view(np.int64)
-    return out
+def bands(n: np.ndarray) -> np.ndarray:
+    """i with 2**i <= n < 2**(i+1); 0 for empty sets."""
+    return np.frexp(np.maximum(n, 1).astype(np.float64))[1].astype(np.int64) - 1
+
+
+def sketches(d: np.ndarray, s: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    """Parity sketches: for a set of n members the power of two above n in bits, 64 at least, as 64-bit words."""
+    bits = np.maximum(64, 2 << bands(n))
+    start = np.concatenate([[0], np.cumsum(bits)])
+    odd = np.bincount(start[d] + (s & (bits[d] - 1).astype(U)).astype(np.int64), minlength=start[-1]) & 1
+    return pa.ListArray.from_arrays(pa.array(start // 64, pa.int32()), pa.array(np.packbits(odd.astype(np.uint8)).view(np.int64)))
 
 
 def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,9 +132,7 @@ def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, end, data, offsets in A.groups(batch.column(1)):
             d, s = sets(data, offsets)
             n, cls = classes(d, s, end - first)
-            k = SKETCH_BITS // 64
-            rows = sketches(d, s, end - first)
-            yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), pa.array(n), pa.array(A.signed(cls)), pa.ListArray.from_arrays(pa.array(np.arange(0, (end - first + 1) * k, k), pa.int32()), pa.array(rows.ravel())), pa.nulls(end - first, pa.int64()), pa.nulls(end - first, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), pa.array(n), pa.array(A.signed(cls)), sketches(d, s, n), pa.nulls(end - first, pa.int64()), pa.nulls(end - first, pa.int64())], schema=schema)
             fresh = np.zeros(end - first, bool)
             u, at = np.unique(cls, return_index=True)
             fresh[[i for c, i in zip(u.tolist(), at.tolist()) if c not in known]] = True
@@ -162,9 +170,7 @@ def nonzero_segments(d: np.ndarray, s: np.ndarray, segments: np.ndarray, most: n
 def signatures(d: np.ndarray, s: np.ndarray, n: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(doc, signature) of documents with a set; hot: whether each shingle is among the frequent ones."""
     size = np.maximum(n, 1)
-    band = np.floor(np.log2(size)).astype(np.int64)
-    band[(1 << band) > size] -= 1
-    band[(2 << band) <= size] += 1
+    band = bands(n)
     low = 1 << band
     most = (size + 4 * size // 3) // 7 + 1
     cool_d, cool_s = d[~hot], s[~hot]
@@ -192,28 +198,56 @@ def signatures(d: np.ndarray, s: np.ndarray, n: np.ndarray, hot: np.ndarray) ->
     return np.concatenate(out_d), np.concatenate(out_v)
 
 
-def pack(v: np.ndarray, cls: np.ndarray, q: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """(bucket, signatures, classes, size classes) with 5-byte signatures beside the bucket."""
-    where = ((v >> U(40)) % U(buckets)).astype(np.int64)
-    order = np.argsort(where, kind="stable")
-    cuts = np.searchsorted(where[order], np.arange(buckets + 1))
-    low = np.ascontiguousarray(v[order]).view(np.uint8).reshape(-1, 8)[:, :5]
-    own, q = cls[order], q[order]
-    for b in np.nonzero(np.diff(cuts))[0]:
-        a, e = cuts[b], cuts[b + 1]
-        yield int(b), low[a:e].tobytes(), own[a:e].tobytes(), q[a:e].tobytes()
+PACKED = "bucket int, kind int, signatures binary, owners binary, sizes binary"
 
 
-def unpack(signatures: list[bytes], owners: list[bytes], sizes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"".join(signatures), np.uint8).reshape(-1, 5)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :5] = raw
-    return wide.view(U).ravel(), np.frombuffer(b"".join(owners), U), np.frombuffer(b"".join(sizes), np.uint8).astype(np.int16)
+def pack(v: np.ndarray, cls: np.ndarray, q: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows (bucket, kind, signatures, classes, size classes) of a flush.
+
+    kind 0: 5-byte signatures beside the bucket. kind 1: whole signatures with their members, in a bucket of no meaning. kind 2: marks
+    of signatures that have such members, 5 bytes, without owners.
+    """
+    out: list[tuple[int, int, bytes, bytes, bytes]] = []
+    order = np.argsort(v, kind="stable")
+    w = v[order]
+    opens = np.append(True, w[1:] != w[:-1]) if len(w) else np.zeros(0, bool)
+    size = np.diff(np.append(np.nonzero(opens)[0], len(w)))
+    hot = order[np.repeat(size, size) > LOCAL_GROUP]
+    if len(hot):
+        out.append((A.mix_one(int(v[hot[0]] ^ cls[hot[0]])) % buckets, 1, v[hot].tobytes(), cls[hot].tobytes(), b""))
+    cold = np.ones(len(v), bool)
+    cold[hot] = False
+    for kind, pick in ((0, cold), (2, order[opens][size > LOCAL_GROUP])):  # cold ones as they came: equal classes side by side compress
+        w, own, sizes = v[pick], cls[pick], q[pick]
+        where = ((w >> U(40)) % U(buckets)).astype(np.int64)
+        order = np.argsort(where, kind="stable")
+        cuts = np.searchsorted(where[order], np.arange(buckets + 1))
+        low = np.ascontiguousarray(w[order]).view(np.uint8).reshape(-1, 8)[:, :5]
+        own, sizes = own[order], sizes[order]
+        for b in np.nonzero(np.diff(cuts))[0]:
+            a, e = cuts[b], cuts[b + 1]
+            out.append((int(b), kind, low[a:e].tobytes(), own[a:e].tobytes() if kind == 0 else b"", sizes[a:e].tobytes() if kind == 0 else b""))
+    types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["bucket", "kind", "signatures", "owners", "sizes"])
+
+
+def wide(raw: bytes) -> np.ndarray:
+    """5-byte numbers."""
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view(U).ravel()
+
+
+def blocks_of(size: np.ndarray) -> np.ndarray:
+    """Block of each member of groups that stand one after the other."""
+    return (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)) // BLOCK
 
 
 def meet(frame: pd.DataFrame) -> pd.DataFrame:
-    """Candidate pairs (kind 0) of one bucket; members of large groups (kind 1: a is the group)."""
-    v, cls, q = unpack(frame["signatures"].tolist(), frame["owners"].tolist(), frame["sizes"].tolist())
+    """Candidate pairs (kind 0) of one bucket; members of large groups (kind 1: a is the group, block the part of its chain)."""
+    of = lambda kind, column: b"".join(frame.loc[frame["kind"] == kind, column])
+    v, cls, q = wide(of(0, "signatures")), np.frombuffer(of(0, "owners"), U), np.frombuffer(of(0, "sizes"), np.uint8).astype(np.int16)
+    marked = np.unique(wide(of(2, "signatures")))
     bucket = int(frame["bucket"].iloc[0])
     order = np.lexsort((cls, v))
     v, cls, q = v[order], cls[order], q[order]
@@ -224,49 +258,74 @@ def meet(frame: pd.DataFrame) -> pd.DataFrame:
     opens[1:] = v[1:] != v[:-1]
     start = np.nonzero(opens)[0]
     size = np.diff(np.append(start, len(v)))
+    large = (size > GROUP) | np.isin(v[start], marked)
     pairs = []
     for step in range(1, GROUP):  # the step-th neighbour within small groups: all pairs of them
-        s0, n0 = start[(size > step) & (size <= GROUP)], size[(size > step) & (size <= GROUP)]
+        s0, n0 = start[(size > step) & ~large], size[(size > step) & ~large]
         if not len(s0):
             continue
         m = n0 - step
         at = np.repeat(s0, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
         at = at[np.abs(q[at] - q[at + step]) <= SIZE_APART]
         pairs.append((cls[at], cls[at + step]))
-    s0, n0 = start[size > GROUP], size[size > GROUP]
-    members = np.zeros(0, np.int64)
-    if len(s0):
-        members = np.repeat(s0, n0) + np.arange(n0.sum()) - np.repeat(np.cumsum(n0) - n0, n0)
+    members = np.repeat(large, size)
     a, b = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, U) for i in (0, 1))
     if len(a):
         both = np.unique(np.stack([a, b], 1), axis=0)
         a, b = both[:, 0], both[:, 1]
-    group = A.mix(v[members] + U(bucket << 40))
-    return pd.DataFrame({"kind": np.repeat(np.array([0, 1], np.int32), [len(a), len(members)]), "a": A.signed(np.concatenate([a, group])), "b": A.signed(np.concatenate([b, cls[members]]))})
+    groups, owners, blocks = [A.mix(v[members] + ((U(bucket) + U(1)) << U(40)))], [cls[members]], [blocks_of(size[large])]
+    for signatures, own in frame.loc[frame["kind"] == 1, ["signatures", "owners"]].itertuples(index=False):
+        w, own = np.frombuffer(signatures, U), np.frombuffer(own, U)
+        home = (w >> U(40)) % U(int(frame["buckets"].iloc[0]))
+        groups.append(A.mix((w & U((1 << 40) - 1)) + ((home + U(1)) << U(40))))
+        owners.append(own)
+        n0 = np.diff(np.append(np.nonzero(np.append(True, w[1:] != w[:-1]))[0], len(w)))
+        blocks.append(blocks_of(n0) + (A.mix_one(int(own[0] ^ w[0])) & 0x3FFFFFFF))
+    group, own, block = np.concatenate(groups), np.concatenate(owners), np.concatenate([np.zeros(len(a), np.int64), *blocks])
+    return pd.DataFrame({"kind": np.repeat(np.array([0, 1], np.int32), [len(a), len(own)]), "a": A.signed(np.concatenate([a, group])), "b": A.signed(np.concatenate([b, own])), "block": block})
 
 
 def sketch_distance(a: str, b: str):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    """Hamming distance of two sketches, the longer one folded (sizes that can be similar are one band apart at most)."""
+    half = lambda x: f"int(size({x}) div 2)"
+    folded = lambda x: f"zip_with(slice({x}, 1, {half(x)}), slice({x}, {half(x)} + 1, {half(x)}), (u, v) -> u ^ v)"
+    apart = lambda x, y: f"aggregate(zip_with({x}, {y}, (u, v) -> bit_count(u ^ v)), 0, (t, x) -> t + x)"
+    return F.expr(f"case when size({a}) = size({b}) then {apart(a, b)} when size({a}) > size({b}) then {apart(folded(a), b)} else {apart(a, folded(b))} end")
+
+
+def delegates(members: DataFrame) -> DataFrame:
+    """One member of each component that a large group has two members of or more, all in one block."""
+    one = members.groupBy("a", "component").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("a", "b").alias("h"), "b", "n")).alias("m"))
+    return one.filter("k > 1").select("a", F.col("m.b").alias("b"), F.col("m.n").alias("n"), "component", F.lit(0).alias("block"))
 
 
-def chained(members: DataFrame, turn: int) -> DataFrame:
-    """Each member of a large group (a: group, b: class) with the next in an order of its own for every group and turn."""
-    after = Window.partitionBy("a").orderBy(F.xxhash64("a", "b", F.lit(turn)), "b")
+def chained(members: DataFrame) -> DataFrame:
+    """Each member of a block of a large group (a: group, b: class) with the next in an order of its own for every group."""
+    after = Window.partitionBy("a", "block").orderBy(F.xxhash64("a", "b"), "b")
     o = members.select("b", "n", "component", *[F.lead(c).over(after).alias("o_" + c) for c in ("b", "n", "component")])
     o = o.filter("component <> o_component and 3 * greatest(n, o_n) <= 4 * least(n, o_n)")
     return o.select(F.least("b", "o_b").alias("a"), F.greatest("b", "o_b").alias("b"))
 
 
+def salted(groups: DataFrame) -> DataFrame:
+    """A row for each salt, to meet members that are dealt by salts."""
+    return groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def across(members: DataFrame) -> DataFrame:
     """All pairs of members of one large group that are in different components and that sizes and sketches allow.
 
-    Of each such pair one at least is outside the group's commonest component: only those meet all the others.
+    Of each such pair one at least is outside the group's commonest component: only those meet the others, those of like size (a size step
+    is 4/3, so one step apart at most), in parts of PART members.
     """
     sizes = members.groupBy("a", "component").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("a").agg(F.max(F.struct("k", "component")).alias("m")).select("a", F.col("m.component").alias("main"))
-    few = members.join(main, "a").filter("component <> main").select("a", *[F.col(c).alias("o_" + c) for c in ("b", "n", "component", "sketch")])
+    main = sizes.groupBy("a").agg(F.max(F.struct("k", "component")).alias("m"), F.sum("k").alias("k")).select("a", F.col("m.component").alias("main"), F.ceil(F.col("k") / PART).cast("int").alias("parts"))
+    step = F.floor(F.ln("n") / math.log(4 / 3)).cast("int")
+    members = members.join(salted(main), ["a", "salt"]).withColumns({"step": step, "part": F.pmod(F.xxhash64(F.lit(1), "b"), F.col("parts")).cast("int")})
+    few = members.filter("component <> main").select("a", *[F.col(c).alias("o_" + c) for c in ("b", "n", "component", "sketch")], F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)).alias("step"), "parts")
+    few = few.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     near = F.expr("component <> o_component and 3 * greatest(n, o_n) <= 4 * least(n, o_n)") & (7 * sketch_distance("sketch", "o_sketch") <= F.col("n") + F.col("o_n"))
-    pairs = few.join(members, "a").filter(near)
+    pairs = few.join(members, ["a", "part", "step"]).filter(near)
     return pairs.select(F.least("b", "o_b").alias("a"), F.greatest("b", "o_b").alias("b"))
 
 
@@ -277,39 +336,44 @@ def sketched(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return cut(near.filter((3 * F.greatest("na", "nb") <= 4 * F.least("na", "nb")) & (7 * sketch_distance("sa", "sb") <= F.col("na") + F.col("nb"))).select("a", "b"))
 
 
+def bitmap_of(classes_: DataFrame, bits: int) -> np.ndarray:
+    """Bits of the hashes of rep, gathered word by word: bits / 8 bytes at most."""
+    h = F.pmod(F.xxhash64("rep"), F.lit(bits))
+    words = classes_.select(h.alias("h")).groupBy(F.expr("h div 64").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, int(h % 64))")).alias("w")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("i").to_numpy()] = words.column("w").to_numpy()
+    return out
+
+
 def whole_sets(needed: DataFrame, docs: DataFrame) -> DataFrame:
-    """(class, members) of the asked classes, 40 bits a shingle. needed: class, rep. Texts are shuffled only if the classes are too many to broadcast."""
-    needed = cut(needed.select(F.col("rep").alias("__rep"), F.col("class").alias("__class")))
-    small = needed.count() <= BROADCAST_IDS
-    wanted = docs.join(F.broadcast(needed) if small else needed, F.col("doc_id") == F.col("__rep")).select("__class", "text")
+    """(class, members) of the asked classes, 64 bits a shingle. needed: class, rep."""
+    needed = cut(needed.select("class", "rep"))
+    bits = 1 << min(int(math.log2(BITMAP_BITS)), max(16, (BITMAP_RATE * needed.count()).bit_length()))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(needed, bits))  # at most BITMAP_BITS
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
         for batch in batches:
-            for first, end, data, offsets in A.groups(batch.column(1)):
+            at = batch.column(1).to_numpy()
+            batch = batch.filter(pa.array((words[at >> 6] >> (at & 63)) & 1 == 1))
+            for first, end, data, offsets in A.groups(batch.column(0)):
                 d, s = sets(data, offsets)
                 _, cls = classes(d, s, end - first)
-                own = np.array(batch.column(0).slice(first, end - first).to_pylist(), np.int64)
                 cuts = np.searchsorted(d, np.arange(end - first + 1))
-                good = np.nonzero(A.signed(cls) == own)[0]
-                packed = [np.unique(s[cuts[i] : cuts[i + 1]] & U(MEMBER_MASK)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for i in good]
-                yield pa.RecordBatch.from_arrays([pa.array(own[good]), pa.array(packed, pa.binary())], names=["class", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array(A.signed(cls)), pa.array([s[a:e].tobytes() for a, e in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["class", "members"])
 
-    return cut(wanted.mapInArrow(members, "class long, members binary"))
+    asked = docs.filter("doc_id is not null").select(F.coalesce("text", F.lit("")), F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("at"))
+    return asked.mapInArrow(members, "class long, members binary").join(needed.select("class"), "class", "left_semi").dropDuplicates(["class"])
 
 
 def verified(near: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs that link, by their whole sets."""
 
-    def wide(raw: bytes) -> np.ndarray:
-        out = np.zeros((len(raw) // 5, 8), np.uint8)
-        out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-        return out.view(U).ravel()
-
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):  # one pair at a time: a batch of sets is large
-                x, y = wide(x.as_py()), wide(y.as_py())
+                x, y = np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= 75 * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -328,8 +392,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     frequent = seen.filter("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= HOT_TOTAL).orderBy(F.desc("seen"), "shingle").limit(HOT_MOST)
     hot_list = np.sort(np.array(frequent.select("shingle").toArrow().column(0).to_numpy(), np.int64).view(U))
     shared = spark.sparkContext.broadcast(hot_list)  # at most HOT_MOST numbers
-    known = cut(rows.filter("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    buckets = max(n_partitions(spark), math.ceil(2 * input_bytes(docs) / BUCKET_BYTES) if input_bytes(docs) < 1 << 50 else 0)
+    known = cut_dealt(rows.filter("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    # some 14 bytes for every other member of a set
+    buckets = max(n_partitions(spark), math.ceil(7 * (known.agg(F.sum("n")).first()[0] or 0) / BUCKET_BYTES))
 
     def signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_list = shared.value
@@ -338,9 +403,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            out = list(pack(*(np.concatenate([x[i] for x in held]) for i in range(3)), buckets))
+            out = pack(*(np.concatenate([x[i] for x in held]) for i in range(3)), buckets)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "signatures", "owners", "sizes"])
+            return out
 
         for batch in batches:
             for first, end, data, offsets in A.groups(batch.column(0)):
@@ -363,30 +428,31 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         if held and sum(len(x[0]) for x in held):
             yield flush()
 
-    packed = texts.filter("doc_id is not null").select("text").mapInArrow(signed_rows, "bucket int, signatures binary, owners binary, sizes binary")
-    met = cut(packed.groupBy("bucket").applyInPandas(meet, "kind int, a long, b long"))
+    packed = texts.filter("doc_id is not null").select("text").mapInArrow(signed_rows, PACKED)
+    met = cut(packed.withColumn("buckets", F.lit(buckets)).groupBy("bucket").applyInPandas(meet, "kind int, a long, b long, block long"))
     free_shuffles(spark)
     near = sketched(met.filter("kind = 0").select("a", "b").distinct(), known)
-    large = cut(met.filter("kind = 1").select("a", "b").join(known.select(F.col("class").alias("b"), "n"), "b").select("a", "b", "n"))
-    asked = near.select(F.col("a").alias("class")).union(near.select("b")).union(large.select("b")).distinct()
-    whole = whole_sets(asked.join(known, "class").select("class", "rep"), texts)
+    large = met.filter("kind = 1").select("a", "b", "block").join(known.select(F.col("class").alias("b"), "n"), "b")
+    large = cut(large.select("a", "b", "n", "block", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt")))
     # First each class with one candidate, and members of large groups with a few others; then what is still apart.
     both = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     tried = both.groupBy("b").agg(F.min("a").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links, placed = None, large.select(F.col("b").alias("node"), F.col("b").alias("component")).limit(0)
     for turn in range(ROUNDS + 1):
-        apart = large.join(placed, F.col("b") == F.col("node"), "left").select("a", "b", "n", F.coalesce("component", "b").alias("component"))
+        apart = large.join(placed, F.col("b") == F.col("node"), "left").select("a", "b", "n", "block", "salt", F.coalesce("component", "b").alias("component"))
         torn = apart.groupBy("a").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("a")
-        torn = apart.join(torn, "a").select("a", "b", "n", "component")
+        torn = apart.join(salted(torn), ["a", "salt"])
         if turn == ROUNDS:
             place = lambda x: placed.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))  # noqa: B023, E731
             rest = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(place("a"), "a", "left").join(place("b"), "b", "left")
             torn = torn.join(known.select(F.col("class").alias("b"), "sketch"), "b")
-            pairs = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").union(across(torn))
+            pairs = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").union(across(torn)).distinct()
+            pairs = cut(pairs)  # passed by sketches already
         else:
-            pairs = chained(torn if turn else torn.filter(F.pmod("a", F.lit(SPARSE)) == 0), turn)
-            pairs = pairs.union(tried) if turn == 0 else pairs
-        new = verified(sketched(pairs.distinct(), known), whole)
+            pairs = chained(delegates(torn) if turn else torn.filter(F.pmod("a", F.lit(SPARSE)) == 0))
+            pairs = sketched((pairs.union(tried) if turn == 0 else pairs).distinct(), known)
+        asked = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+        new = verified(pairs, whole_sets(asked.join(known, "class"), texts))
         links = new if links is None else links.union(new)
         placed = components(links)
         free_shuffles(spark)

@@ -49,8 +49,8 @@ def test_charsets(spark):
 
 
 def test_text(spark):
-    assert one(spark, T.harmonise(F.lit("ﬁn ‘a’  …×")), T.harmonise_linebreaks(F.lit("a\nb\n\nc\n\n\n\nd")), T.dehyphenate(F.lit("wo- rd é- t"))) == ("fin 'a' ...x", "a b\n\nc\n\n\nd", "word ét")
-    assert one(spark, T.line_range(F.lit("12f.")), T.trailing_off(F.lit("(12 ff.")), T.line_range(F.lit("12"))) == ("12-13", "12 ", "12")
+    assert one(spark, T.harmonise(F.lit("ﬁn ‘a’  …×")), T.harmonise_linebreaks(F.lit("a\nb\n\nc\n\n\n\nd")), T.dehyphenate(F.lit("wo- rd é- t"))) == ("fin ‘a’ ...x", "a b\n\nc\n\n\nd", "word ét")
+    assert one(spark, T.following(F.lit("12f.")), T.scope(F.lit("(12 ff.")), T.following(F.lit("12")), T.following(F.lit("ivf.")), T.scope(F.lit("1ff.2f.,"))) == ("12-13", ":12 ", "12", "iv", ":12f")
     assert one(spark, T.nfc(F.lit("é")), T.remove_diacritics(F.lit("Ἀθήνη é"))) == ("é", "Αθηνη e")
     assert T.beta_code("*)aqh/nh") .startswith("Ἀ")
 

@@ -11,7 +11,8 @@ Parts are dealt out in blocks of BLOCK_ROWS rows and BLOCK_QUERIES queries, so t
 rows nor many queries to one part is a single task's work; per block only the best k a query go on.
 
 Vectors that are null, zero, of another length than most of the sample's, or hold null or non-finite components take no part. A query's
-own id is no candidate. Rows that repeat an id are one candidate. Ties (to 12 decimals) go to the smaller id.
+own id is no candidate; rows without an id take no part. Rows that repeat an id are one candidate, or one query, by the nearest of its vectors.
+Ties of the double-precision scores go to the smaller id. An empty table has no neighbours.
 """
 
 from __future__ import annotations
@@ -151,7 +152,7 @@ def sample(vectors: DataFrame, id_col: str, vector_col: str, size: int) -> list[
 def place(vectors: DataFrame, router: Router, id_col: str, vector_col: str) -> DataFrame:
     """id, v (double) and parts: all parts, most probable first. Rows that take no part are gone."""
     shared = vectors.sparkSession.sparkContext.broadcast(router)
-    rows = vectors.filter(usable(F.col(vector_col)) & (F.size(vector_col) == router.dim)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = vectors.filter(usable(F.col(vector_col)) & (F.size(vector_col) == router.dim) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         router = shared.value
@@ -169,22 +170,24 @@ def scorer(k: int):
     def best(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         """The k nearest rows of a block for each query; every score is the same sum in the same order."""
         out = {"query_id": [], "vec_id": [], "score": []}
-        rows, queries = rows.drop_duplicates("id"), queries.drop_duplicates("id")
         if len(rows) and len(queries):
             ids, b = rows["id"].to_numpy(), np.array(rows["v"].tolist())
             nb = np.sqrt((b * b).sum(1))
-            unit = b / nb[:, None]
+            unit, spare = b / nb[:, None], len(ids) - len(np.unique(ids))
             for q_id, q in zip(queries["id"], queries["v"]):
                 nq = np.sqrt((q * q).sum())
                 rough = unit @ (q / nq)
                 rough[ids == q_id] = -np.inf
-                n = min(k, int(np.isfinite(rough).sum()))
+                n = min(k + spare, int(np.isfinite(rough).sum()))
                 if not n:
                     continue
                 at = np.nonzero(rough >= np.partition(rough, len(rough) - n)[len(rough) - n] - 1e-9)[0]
                 exact = (b[at] * q).sum(1) / (nb[at] * nq)
-                first = np.lexsort((ids[at], -np.round(exact, 12)))[:n]
-                out["query_id"] += [q_id] * n
+                first = np.lexsort((ids[at], -exact))
+                if spare:  # of rows that repeat an id the nearest
+                    first = first[np.sort(np.unique(ids[at][first], return_index=True)[1])]
+                first = first[:k]
+                out["query_id"] += [q_id] * len(first)
                 out["vec_id"] += ids[at][first].tolist()
                 out["score"] += exact[first].tolist()
         return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
@@ -214,5 +217,5 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     keys = ("part", "block", "q_block")
     near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scorer(k), "query_id long, vec_id long, score double")
     near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

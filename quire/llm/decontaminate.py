@@ -16,7 +16,8 @@ verified first, so that the other windows of an item are given up sooner.
 Each candidate is verified exactly: the least edit distance (characters, words joined by one space) between the item and the text from the
 window's start to any end, by Myers' bit-parallel recurrence; a match has at most max_rate edits per character of the item.
 
-Items of fewer than MIN_WORDS words are not looked for: chance would find them. Null and empty texts match nothing. The items are
+Every item of a word or more is looked for (min_words leaves out shorter ones, which chance would find). Null and empty texts and items match
+nothing, rows without an item_id are left out; rows that repeat are documents, or items, of their own. A column named hits is replaced. The items are
 broadcast in groups of at most GROUP_CHARS characters, however many there are; texts never leave their rows and need no shuffle.
 """
 
@@ -34,7 +35,6 @@ from quire.llm import arrays as A
 from quire.llm.common import ship
 
 U = np.uint64
-MIN_WORDS = 4
 WALKS = 4
 KEYS_PER_WALK = 4
 REPEATS = WALKS * KEYS_PER_WALK
@@ -166,7 +166,7 @@ def slot(v: np.ndarray) -> np.ndarray:
 class Items:
     """The items of a group: their words, their keys and their pieces."""
 
-    def __init__(self, ids: list[int], texts: list[str], max_rate: float):
+    def __init__(self, ids: list[int], texts: list[str], max_rate: float, min_words: int = 1):
         data = pa.array(texts, pa.string())
         self.ids: list[int] = []
         self.patterns: list[str] = []
@@ -176,7 +176,7 @@ class Items:
             start, end, doc, h = A.word_hashes(raw, offsets)
             for i in range(len(offsets) - 1):
                 a, b = np.searchsorted(doc, [i, i + 1])
-                if b - a < MIN_WORDS:
+                if b - a < max(1, min_words):
                     continue
                 item = len(self.ids)
                 self.ids.append(ids[first + i])
@@ -305,20 +305,21 @@ def item_groups(benchmark: DataFrame, id_col: str, text: str) -> Iterator[tuple[
         yield ids, texts
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, max_rate: float = 0.1, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, max_rate: float = 0.1, keep: tuple[str, ...] = ("doc_id",), text: str = "text", min_words: int = 1) -> DataFrame:
     """docs' columns `keep` with hits: array of item_id, first_word, n_chars, edits, rate; the best match of every item found."""
     spark = docs.sparkSession
     ship(spark)
+    keep = tuple(c for c in keep if c != "hits")
     hit = pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("n_chars", pa.int64()), ("edits", pa.int64()), ("rate", pa.float64())])
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", hits array<struct<item_id:bigint,first_word:bigint,n_chars:bigint,edits:bigint,rate:double>>"
     groups = [spark.sparkContext.broadcast((ids, texts)) for ids, texts in item_groups(benchmark, "item_id", "text")]
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = [Items(*g.value, max_rate) for g in groups]
+        built = [Items(*g.value, max_rate, min_words) for g in groups]
         for batch in batches:
             out: list[list[dict]] = [[] for _ in range(len(batch))]
-            for first, _, raw, offsets in A.groups(batch.column(batch.schema.get_field_index("__text"))):
+            for first, _, raw, offsets in A.groups(batch.column(len(keep))):
                 for items in built:
                     for d, item, start, length, edits, rate in find(items, raw, offsets, max_rate):
                         out[first + d].append({"item_id": item, "first_word": start, "n_chars": length, "edits": edits, "rate": rate})

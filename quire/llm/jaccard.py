@@ -117,7 +117,7 @@ def sketches(d: np.ndarray, s: np.ndarray, n: np.ndarray) -> pa.ListArray:
 
 def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its id, size, class and sketch; per task the shingles that many of its classes hold."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("sketch", pa.list_(pa.int64())), ("shingle", pa.int64()), ("seen", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("sketch", pa.list_(pa.int64())), ("shingle", pa.int64()), ("seen", pa.int64())])
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
     known: set[int] = set()
@@ -128,11 +128,11 @@ def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return u, np.bincount(at, c, len(u)).astype(np.int64)
 
     for batch in batches:
-        ids = batch.column(0)
+        ids, ths = batch.column(0), batch.column(2)
         for first, end, data, offsets in A.groups(batch.column(1)):
             d, s = sets(data, offsets)
             n, cls = classes(d, s, end - first)
-            yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), pa.array(n), pa.array(A.signed(cls)), sketches(d, s, n), pa.nulls(end - first, pa.int64()), pa.nulls(end - first, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), ths.slice(first, end - first), pa.array(n), pa.array(A.signed(cls)), sketches(d, s, n), pa.nulls(end - first, pa.int64()), pa.nulls(end - first, pa.int64())], schema=schema)
             fresh = np.zeros(end - first, bool)
             u, at = np.unique(cls, return_index=True)
             fresh[[i for c, i in zip(u.tolist(), at.tolist()) if c not in known]] = True
@@ -148,7 +148,7 @@ def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, c = merged()
         u, c = u[c >= HOT_LOCAL], c[c >= HOT_LOCAL]
         nil = pa.nulls(len(u), pa.int64())
-        yield pa.RecordBatch.from_arrays([nil, nil, nil, pa.nulls(len(u), pa.list_(pa.int64())), pa.array(A.signed(u)), pa.array(c)], schema=schema)
+        yield pa.RecordBatch.from_arrays([nil, nil, nil, nil, pa.nulls(len(u), pa.list_(pa.int64())), pa.array(A.signed(u)), pa.array(c)], schema=schema)
 
 
 def nonzero_segments(d: np.ndarray, s: np.ndarray, segments: np.ndarray, most: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -383,12 +383,15 @@ def verified(near: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class and component_id, a row for each row of docs."""
+    """doc_id, th, n_shingles, class, group and component_id, a row for each row of docs.
+
+    th is the text's xxhash64, class its set, group the component itself: rows that repeat a doc_id can have one component_id in different ones.
+    """
     spark = docs.sparkSession
     ship(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = cut(texts.mapInArrow(survey, "doc_id long, n long, class long, sketch array<bigint>, shingle long, seen long"))
-    rows = seen.filter("shingle is null").select("doc_id", "n", "class", "sketch")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    seen = cut(texts.mapInArrow(survey, "doc_id long, th long, n long, class long, sketch array<bigint>, shingle long, seen long"))
+    rows = seen.filter("shingle is null").select("doc_id", "th", "n", "class", "sketch")
     frequent = seen.filter("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= HOT_TOTAL).orderBy(F.desc("seen"), "shingle").limit(HOT_MOST)
     hot_list = np.sort(np.array(frequent.select("shingle").toArrow().column(0).to_numpy(), np.int64).view(U))
     shared = spark.sparkContext.broadcast(hot_list)  # at most HOT_MOST numbers
@@ -458,6 +461,6 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         free_shuffles(spark)
     found = placed.join(known.select(F.col("class").alias("node"), "rep"), "node")
     least = found.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_class = found.join(least, "component").select(F.col("node").alias("class"), "component_id")
-    homes = known.select("class", "rep").join(by_class, "class", "left").select("class", F.coalesce("component_id", "rep").alias("component_id"))
-    return rows.join(homes, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), "class", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    by_class = found.join(least, "component").select(F.col("node").alias("class"), F.col("component").alias("group"), "component_id")
+    homes = known.select("class", "rep").join(by_class, "class", "left").select("class", F.coalesce("group", "class").alias("group"), F.coalesce("component_id", "rep").alias("component_id"))
+    return rows.join(homes, "class", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), "class", "group", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -40,7 +40,6 @@ IDENTIFIER = re.compile(r"[0-9@]")
 SECRET = re.compile(r"(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})")
 CONTEXT = re.compile(r"\w+|[^\w\s]")
 CONTEXT_CHARS = 40
-LONGEST_TOKEN = 256
 #: Salts of a pattern's occurrences, so that one pattern's many are not one task's.
 SALTS = 16
 
@@ -85,8 +84,13 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
 
 def contexts(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns around a span: three and two tokens to the left, and one each side; digits read as 0."""
-    left = CONTEXT.findall(text[max(0, start - CONTEXT_CHARS) : start].lower())[-3:]
-    right = CONTEXT.findall(text[end : end + CONTEXT_CHARS].lower())[:1]
+    left, right, reach = [], [], CONTEXT_CHARS
+    while True:  # wider until one more token than asked for shows that those are whole
+        left, right = CONTEXT.findall(text[max(0, start - reach) : start].lower()), CONTEXT.findall(text[end : end + reach].lower())
+        if (len(left) > 3 or reach >= start) and (len(right) > 1 or end + reach >= len(text)):
+            break
+        reach *= 4
+    left, right = left[-3:], right[:1]
     left, right = ([re.sub(r"\d+", "0", x) for x in side] for side in (left, right))
     out = []
     if len(left) >= 3:
@@ -109,7 +113,7 @@ def candidates(text: str, taken: list[tuple[int, int, int]], refused: list[tuple
         a, b = m.start(), m.start() + len(m[0].rstrip(".:!?*#$%&"))
         while i < len(closed) and closed[i][1] <= a:
             i += 1
-        if b - a < 6 or b - a > LONGEST_TOKEN or not IDENTIFIER.search(text, a, b) or any(s < b and e > a for s, e in closed[i : i + 8]):
+        if b - a < 6 or not IDENTIFIER.search(text, a, b) or any(s < b and e > a for s, e in closed[i : i + 8]):
             continue
         out.append((a, b, text[a:b].lower(), "secret" if SECRET.fullmatch(text[a:b]) else None))
     return out
@@ -160,7 +164,7 @@ def score_patterns(edges: DataFrame, rounds: int = 3, min_seeds: int = 5, min_co
 
 
 def find_personal_data(docs: DataFrame, rounds: int = 3, min_seeds: int = 5, min_confidence: float = 0.6) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base, base_sha256, discovered (array of kind, s, e) and spans, a row for each row of docs.
+    """doc_id, n_email, n_ip, n_card, n_phone, base, base_sha256, discovered (array of kind, s, e, seed: whether a secret by its own form) and spans, a row for each row of docs.
 
     spans joins base and discovered as kind:start:end by kind (email, ip, card, phone, secret), then start.
     """
@@ -169,12 +173,12 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, min_seeds: int = 5, min
     edges = occurrences.groupBy("pattern", "value").agg(F.max("kind").alias("kind"))
     trusted = score_patterns(edges, rounds, min_seeds, min_confidence)
     salted = trusted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    unseen = occurrences.filter(F.col("kind").isNull() | (F.col("kind") == "secret")).select("rid", "s", "e", "pattern", F.pmod("rid", F.lit(SALTS)).cast("int").alias("salt"))
-    hits = unseen.join(salted, ["pattern", "salt"]).groupBy("rid", "s", "e").agg(F.max(F.struct("confidence", "kind")).alias("b"))
+    unseen = occurrences.filter(F.col("kind").isNull() | (F.col("kind") == "secret")).select("rid", "s", "e", "pattern", F.col("kind").isNotNull().alias("seed"), F.pmod("rid", F.lit(SALTS)).cast("int").alias("salt"))
+    hits = unseen.join(salted, ["pattern", "salt"]).groupBy("rid", "s", "e", "seed").agg(F.max(F.struct("confidence", "kind")).alias("b"))
     rank = F.expr("array_position(array('email', 'ip', 'card', 'phone', 'secret'), b.kind)").alias("rank")
-    by_row = hits.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct(rank, F.col("s"), F.col("e"), F.col("b.kind").alias("kind")))).alias("found"))
+    by_row = hits.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct(rank, F.col("s"), F.col("e"), F.col("b.kind").alias("kind"), "seed"))).alias("found"))
     out = rows.drop("occ").join(by_row, "rid", "left")
-    base = F.expr("transform(filter(split(base, ','), x -> x <> ''), x -> struct(array_position(array('email', 'ip', 'card', 'phone', 'secret'), split_part(x, ':', 1)) as rank, bigint(split_part(x, ':', 2)) as s, bigint(split_part(x, ':', 3)) as e, split_part(x, ':', 1) as kind))")
-    every = F.array_sort(F.concat(base, F.coalesce("found", F.expr("cast(array() as array<struct<rank:bigint,s:bigint,e:bigint,kind:string>>)"))))
+    base = F.expr("transform(filter(split(base, ','), x -> x <> ''), x -> struct(array_position(array('email', 'ip', 'card', 'phone', 'secret'), split_part(x, ':', 1)) as rank, bigint(split_part(x, ':', 2)) as s, bigint(split_part(x, ':', 3)) as e, split_part(x, ':', 1) as kind, true as seed))")
+    every = F.array_sort(F.concat(base, F.coalesce("found", F.expr("cast(array() as array<struct<rank:bigint,s:bigint,e:bigint,kind:string,seed:boolean>>)"))))
     out = out.withColumn("spans", F.array_join(F.transform(every, lambda x: F.concat_ws(":", x.kind, x.s, x.e)), ","))
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", F.expr("transform(found, x -> struct(x.kind as kind, x.s as s, x.e as e))").alias("discovered"), "spans")
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", F.expr("transform(found, x -> struct(x.kind as kind, x.s as s, x.e as e, x.seed as seed))").alias("discovered"), "spans")

@@ -42,7 +42,7 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.pii import find_personal_data
 
     found = find_personal_data(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", F.coalesce(F.size("discovered"), F.lit(0)).cast("long").alias("n_discovered"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", F.coalesce(F.expr("size(filter(discovered, x -> x.seed))"), F.lit(0)).cast("long").alias("n_secret"), F.coalesce(F.expr("size(filter(discovered, x -> not x.seed))"), F.lit(0)).cast("long").alias("n_discovered"))
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

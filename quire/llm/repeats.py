@@ -241,7 +241,10 @@ def index_function(length: int):
 def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc, th, lo, hi): byte ranges to remove, overlapping. docs: doc (never null), th, text."""
     spark = docs.sparkSession
-    buckets = max(n_partitions(spark), math.ceil(2 * input_bytes(docs) / BUCKET_BYTES) if input_bytes(docs) < 1 << 50 else 0)
+    size = input_bytes(docs)
+    if size >= 1 << 50:  # no estimate for what docs derives from
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(n_partitions(spark), math.ceil(2 * size / BUCKET_BYTES))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []

@@ -7,7 +7,8 @@ that carry a label's blame get found on the way; score() returns them as spans.
 
 fit() uses a bounded sample of labelled rows: at most max_docs of them (6,000), the first by a hash of doc_id, of texts
 up to max_bytes (64 KiB), equal texts once. Scoring reads every whole text. Null and empty texts have no sentence: score 0.
-Without any labelled row, or without a positive one, every score is 0. Rows that repeat score alike.
+Without any labelled row, or without a positive one, every score is 0. Rows that repeat score alike. The model holds the MODEL_FEATURES commonest
+features of the sample. Columns named score, offending, held_out or predicted are replaced.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ class WordWeights(dict):
     def __missing__(self, word: str) -> float:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        self[word] = found = sum(self.weights.get(f, 0.0) for f in features(word[:64]))
+        self[word] = found = sum(self.weights.get(f, 0.0) for f in features(word))
         return found
 
 
@@ -74,7 +75,7 @@ def fit(texts: list[str], labels: list[int], l1: float = 1.0, steps: int = 200,
         return -50.0, {}
     found: Counter = Counter()
     for t in texts:
-        found.update({f for w in set(WORD.findall(t.lower())) for f in features(w[:64])})
+        found.update({f for w in set(WORD.findall(t.lower())) for f in features(w)})
     words = [w for w, n in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:MODEL_FEATURES] if n >= min_docs]
     del found
     at = {w: i for i, w in enumerate(words)}
@@ -82,7 +83,7 @@ def fit(texts: list[str], labels: list[int], l1: float = 1.0, steps: int = 200,
     for d, t in enumerate(texts):
         for s in SENTENCE.findall(t.lower()):
             doc_of.append(d)
-            hits.append(np.array([i for w in sorted(set(WORD.findall(s))) for f in features(w[:64]) if (i := at.get(f)) is not None], dtype=np.int32))
+            hits.append(np.array([i for w in sorted(set(WORD.findall(s))) for f in features(w) if (i := at.get(f)) is not None], dtype=np.int32))
     doc = np.array(doc_of, dtype=np.int32)
     row, col = np.repeat(np.arange(len(hits), dtype=np.int32), [len(x) for x in hits]), np.concatenate([*hits, np.zeros(0, np.int32)])
     del hits

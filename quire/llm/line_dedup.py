@@ -7,7 +7,8 @@ per document are bit words of the lines to drop (64 lines a word, words without
 
 Null or empty texts are one empty line. Rows that share a doc_id (or a null doc_id) count as one document. Rows
 with the same doc_id and the same text get the same bitmap; so do rows that differ in text, by their own text's hash.
-Very long texts need no special care: a row's lines are exploded one by one.
+Very long texts need no special care: a row's lines are exploded one by one. An empty table gives an empty one. Columns of docs that are named
+like a result (n_lines, n_dropped, kept) are replaced by it.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import ascii_lower, ascii_strip, n_partitions
+from quire.llm.common import ascii_lower, ascii_strip, cut_dealt, n_partitions
 
 SALTS = 256
 
@@ -41,11 +42,12 @@ def line_drops(docs: DataFrame, mode: str = "common", min_docs: int = 2, text: s
     n = n_partitions(docs.sparkSession)
     rows = line_rows(docs, text, doc_id, min_chars).repartitionByRange(n, "h", "salt")
     chunk = Window.partitionBy("h", "salt").orderBy("doc", "th", "pos")
-    rows = rows.select(
+    rows = rows.select(  # stored once: counted, then joined with what is counted
         "*",
         (F.row_number().over(chunk) == 1).alias("opens"),
         F.when(F.row_number().over(chunk) == 1, 1).otherwise((~F.col("doc").eqNullSafe(F.lag("doc").over(chunk))).cast("int")).cast("long").alias("new_doc"),
     )
+    rows = cut_dealt(rows)
     chunks = rows.groupBy("h", "salt").agg(F.sum("new_doc").alias("n"), F.min(F.when(F.col("opens"), F.struct(F.col("doc").isNull().alias("nil"), "doc", "th", "pos"))).alias("first"))
     hits = chunks.groupBy("h").agg(F.sum("n").alias("n_docs"), F.min("first").alias("first"), F.collect_set("salt").alias("salts"))
     hits = hits.filter(F.col("n_docs") >= min_docs).select("h", "first", F.explode("salts").alias("salt"))

@@ -12,12 +12,11 @@ the sets. A sketch folds to half its bits by XOR, so that sets of neighbouring b
 
 Equal sets are one class from the start, so groups of exact copies never meet pairwise. In a group of more than GROUP
 classes, each is first tried with the next in an order that differs from group to group, in every SPARSE-th group; each candidate of a small
-group is tried with one other. Then one member of each component found is tried with the next component's. Then all pairs of candidates, and of members of a large group, that are still in different components are
+group is tried with one other. Then all pairs of candidates, and of members of a large group, that are still in different components are
 verified. Pairs within a component need no verifying, as the result is components. Signatures travel as packed arrays, a few rows per task.
 
 No key is one task's work: a signature that more than LOCAL_GROUP classes of a flush hold goes out as members at once, dealt by flush (a mark
-tells its bucket, so that the others it has there become members too); members are chained by blocks of BLOCK, and joined with
-their group by salts. Sets to verify are found by a bitmap of bounded size, so that texts are never shuffled.
+tells its bucket, so that the others it has there become members too); members are chained in blocks, and joined with their group by salts. Sets to verify are found by a bitmap of bounded size, so that texts are never shuffled.
 
 Null and empty texts have no set and are linked with nothing; a text of fewer than five words is one shingle. Rows
 without a doc_id are linked with nothing and have a null component. Rows that repeat a doc_id are documents of their own
@@ -42,11 +41,11 @@ from quire.llm.components import components
 U = np.uint64
 SHINGLE = 5
 GROUP = 8
-#: Classes of a flush that make a signature hot there; members to a block of a chain; parts that a group is dealt to in joins; members to a part of a group
+#: Classes of a flush that make a signature hot there; members to a chain; parts that a group is dealt to in joins; members to a part of a group
 #: that meets those outside its main component.
 LOCAL_GROUP, BLOCK, SALTS, PART = 64, 1024, 32, 4096
-#: Rounds of chaining large groups: members of every SPARSE-th group, then one member of each component a group has two members of.
-ROUNDS, SPARSE = 2, 2
+#: Every SPARSE-th large group is chained.
+SPARSE = 2
 #: A size class: sizes whose ratio may be 4/3 are SIZE_APART classes apart at most.
 SIZE_STEP, SIZE_APART = 1.05, 7
 HOT_LOCAL, HOT_TOTAL, HOT_MOST = 2, 16, 1 << 19
@@ -238,13 +237,8 @@ def wide(raw: bytes) -> np.ndarray:
     return out.view(U).ravel()
 
 
-def blocks_of(size: np.ndarray) -> np.ndarray:
-    """Block of each member of groups that stand one after the other."""
-    return (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)) // BLOCK
-
-
 def meet(frame: pd.DataFrame) -> pd.DataFrame:
-    """Candidate pairs (kind 0) of one bucket; members of large groups (kind 1: a is the group, block the part of its chain)."""
+    """Candidate pairs (kind 0) of one bucket; members of large groups (kind 1: a is the group)."""
     of = lambda kind, column: b"".join(frame.loc[frame["kind"] == kind, column])
     v, cls, q = wide(of(0, "signatures")), np.frombuffer(of(0, "owners"), U), np.frombuffer(of(0, "sizes"), np.uint8).astype(np.int16)
     marked = np.unique(wide(of(2, "signatures")))
@@ -273,16 +267,14 @@ def meet(frame: pd.DataFrame) -> pd.DataFrame:
     if len(a):
         both = np.unique(np.stack([a, b], 1), axis=0)
         a, b = both[:, 0], both[:, 1]
-    groups, owners, blocks = [A.mix(v[members] + ((U(bucket) + U(1)) << U(40)))], [cls[members]], [blocks_of(size[large])]
+    groups, owners = [A.mix(v[members] + ((U(bucket) + U(1)) << U(40)))], [cls[members]]
     for signatures, own in frame.loc[frame["kind"] == 1, ["signatures", "owners"]].itertuples(index=False):
         w, own = np.frombuffer(signatures, U), np.frombuffer(own, U)
         home = (w >> U(40)) % U(int(frame["buckets"].iloc[0]))
         groups.append(A.mix((w & U((1 << 40) - 1)) + ((home + U(1)) << U(40))))
         owners.append(own)
-        n0 = np.diff(np.append(np.nonzero(np.append(True, w[1:] != w[:-1]))[0], len(w)))
-        blocks.append(blocks_of(n0) + (A.mix_one(int(own[0] ^ w[0])) & 0x3FFFFFFF))
-    group, own, block = np.concatenate(groups), np.concatenate(owners), np.concatenate([np.zeros(len(a), np.int64), *blocks])
-    return pd.DataFrame({"kind": np.repeat(np.array([0, 1], np.int32), [len(a), len(own)]), "a": A.signed(np.concatenate([a, group])), "b": A.signed(np.concatenate([b, own])), "block": block})
+    group, own = np.concatenate(groups), np.concatenate(owners)
+    return pd.DataFrame({"kind": np.repeat(np.array([0, 1], np.int32), [len(a), len(own)]), "a": A.signed(np.concatenate([a, group])), "b": A.signed(np.concatenate([b, own]))})
 
 
 def sketch_distance(a: str, b: str):
@@ -293,18 +285,16 @@ def sketch_distance(a: str, b: str):
     return F.expr(f"case when size({a}) = size({b}) then {apart(a, b)} when size({a}) > size({b}) then {apart(folded(a), b)} else {apart(a, folded(b))} end")
 
 
-def delegates(members: DataFrame) -> DataFrame:
-    """One member of each component that a large group has two members of or more, all in one block."""
-    one = members.groupBy("a", "component").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("a", "b").alias("h"), "b", "n")).alias("m"))
-    return one.filter("k > 1").select("a", F.col("m.b").alias("b"), F.col("m.n").alias("n"), "component", F.lit(0).alias("block"))
-
-
 def chained(members: DataFrame) -> DataFrame:
-    """Each member of a block of a large group (a: group, b: class) with the next in an order of its own for every group."""
+    """Each member of a large group (a: group, b: class) with the next in an order of its own for every group, in chains of some BLOCK members.
+
+    A chain's first member is also tried with the group's hub, so that chains join.
+    """
+    members = members.withColumn("block", F.pmod(F.xxhash64(F.lit(2), "b"), F.ceil(F.col("k") / BLOCK)))
     after = Window.partitionBy("a", "block").orderBy(F.xxhash64("a", "b"), "b")
-    o = members.select("b", "n", "component", *[F.lead(c).over(after).alias("o_" + c) for c in ("b", "n", "component")])
-    o = o.filter("component <> o_component and 3 * greatest(n, o_n) <= 4 * least(n, o_n)")
-    return o.select(F.least("b", "o_b").alias("a"), F.greatest("b", "o_b").alias("b"))
+    o = members.select("b", "n", "hub", F.row_number().over(after).alias("place"), *[F.lead(c).over(after).alias("o_" + c) for c in ("b", "n")])
+    next_ = o.filter("3 * greatest(n, o_n) <= 4 * least(n, o_n)").select("b", "o_b").union(o.filter("place = 1 and b <> hub").select("b", "hub"))
+    return next_.select(F.least("b", "o_b").alias("a"), F.greatest("b", "o_b").alias("b"))
 
 
 def salted(groups: DataFrame) -> DataFrame:
@@ -313,7 +303,7 @@ def salted(groups: DataFrame) -> DataFrame:
 
 
 def across(members: DataFrame) -> DataFrame:
-    """All pairs of members of one large group that are in different components and that sizes and sketches allow.
+    """All pairs of members of one large group that are in different components and that sizes allow (sketches are too wide to travel with them).
 
     Of each such pair one at least is outside the group's commonest component: only those meet the others, those of like size (a size step
     is 4/3, so one step apart at most), in parts of PART members.
@@ -322,10 +312,9 @@ def across(members: DataFrame) -> DataFrame:
     main = sizes.groupBy("a").agg(F.max(F.struct("k", "component")).alias("m"), F.sum("k").alias("k")).select("a", F.col("m.component").alias("main"), F.ceil(F.col("k") / PART).cast("int").alias("parts"))
     step = F.floor(F.ln("n") / math.log(4 / 3)).cast("int")
     members = members.join(salted(main), ["a", "salt"]).withColumns({"step": step, "part": F.pmod(F.xxhash64(F.lit(1), "b"), F.col("parts")).cast("int")})
-    few = members.filter("component <> main").select("a", *[F.col(c).alias("o_" + c) for c in ("b", "n", "component", "sketch")], F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)).alias("step"), "parts")
+    few = members.filter("component <> main").select("a", *[F.col(c).alias("o_" + c) for c in ("b", "n", "component")], F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)).alias("step"), "parts")
     few = few.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    near = F.expr("component <> o_component and 3 * greatest(n, o_n) <= 4 * least(n, o_n)") & (7 * sketch_distance("sketch", "o_sketch") <= F.col("n") + F.col("o_n"))
-    pairs = few.join(members, ["a", "part", "step"]).filter(near)
+    pairs = few.join(members, ["a", "part", "step"]).filter("component <> o_component and 3 * greatest(n, o_n) <= 4 * least(n, o_n)")
     return pairs.select(F.least("b", "o_b").alias("a"), F.greatest("b", "o_b").alias("b"))
 
 
@@ -432,33 +421,33 @@ def similar_documents(docs: DataFrame) -> DataFrame:
             yield flush()
 
     packed = texts.filter("doc_id is not null").select("text").mapInArrow(signed_rows, PACKED)
-    met = cut(packed.withColumn("buckets", F.lit(buckets)).groupBy("bucket").applyInPandas(meet, "kind int, a long, b long, block long"))
+    met = cut(packed.withColumn("buckets", F.lit(buckets)).groupBy("bucket").applyInPandas(meet, "kind int, a long, b long"))
     free_shuffles(spark)
     near = sketched(met.filter("kind = 0").select("a", "b").distinct(), known)
-    large = met.filter("kind = 1").select("a", "b", "block").join(known.select(F.col("class").alias("b"), "n"), "b")
-    large = cut(large.select("a", "b", "n", "block", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt")))
+    large = met.filter("kind = 1").select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
+    groups = large.filter(F.pmod("a", F.lit(SPARSE)) == 0).groupBy("a").agg(F.count("*").alias("k"), F.min("b").alias("hub"))
+    sized = large.join(salted(groups), ["a", "salt"]).join(known.select(F.col("class").alias("b"), "n"), "b")
     # First each class with one candidate, and members of large groups with a few others; then what is still apart.
     both = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    tried = both.groupBy("b").agg(F.min("a").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links, placed = None, large.select(F.col("b").alias("node"), F.col("b").alias("component")).limit(0)
-    for turn in range(ROUNDS + 1):
-        apart = large.join(placed, F.col("b") == F.col("node"), "left").select("a", "b", "n", "block", "salt", F.coalesce("component", "b").alias("component"))
-        torn = apart.groupBy("a").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("a")
-        torn = apart.join(salted(torn), ["a", "salt"])
-        if turn == ROUNDS:
-            place = lambda x: placed.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))  # noqa: B023, E731
-            rest = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(place("a"), "a", "left").join(place("b"), "b", "left")
-            torn = torn.join(known.select(F.col("class").alias("b"), "sketch"), "b")
-            pairs = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").union(across(torn)).distinct()
-            pairs = cut(pairs)  # passed by sketches already
-        else:
-            pairs = chained(delegates(torn) if turn else torn.filter(F.pmod("a", F.lit(SPARSE)) == 0))
-            pairs = sketched((pairs.union(tried) if turn == 0 else pairs).distinct(), known)
+    tried = both.groupBy("b").agg(F.min("a").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    first = sketched(chained(sized).union(tried).distinct(), known)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
         asked = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-        new = verified(pairs, whole_sets(asked.join(known, "class"), texts))
-        links = new if links is None else links.union(new)
-        placed = components(links)
-        free_shuffles(spark)
+        return verified(pairs, whole_sets(asked.join(known, "class"), texts))
+
+    links = confirmed(first)
+    placed = components(links)
+    free_shuffles(spark)
+    apart = large.join(placed, F.col("b") == F.col("node"), "left").select("a", "b", "salt", F.coalesce("component", "b").alias("component"))
+    torn = apart.groupBy("a").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("a")
+    torn = apart.join(salted(torn), ["a", "salt"]).join(known.select(F.col("class").alias("b"), "n"), "b")
+    place = lambda x: placed.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    rest = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(place("a"), "a", "left").join(place("b"), "b", "left")
+    rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    links = links.union(confirmed(sketched(rest.union(across(torn)).distinct(), known)))
+    placed = components(links)
+    free_shuffles(spark)
     found = placed.join(known.select(F.col("class").alias("node"), "rep"), "node")
     least = found.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = found.join(least, "component").select(F.col("node").alias("class"), F.col("component").alias("group"), "component_id")

@@ -288,12 +288,12 @@ def sketch_distance(a: str, b: str):
 def chained(members: DataFrame) -> DataFrame:
     """Each member of a large group (a: group, b: class) with the next in an order of its own for every group, in chains of some BLOCK members.
 
-    A chain's first member is also tried with the group's hub, so that chains join.
+    Each member is also tried with the group's hub, the member of most large groups: copies of one text resemble it more than one another.
     """
     members = members.withColumn("block", F.pmod(F.xxhash64(F.lit(2), "b"), F.ceil(F.col("k") / BLOCK)))
     after = Window.partitionBy("a", "block").orderBy(F.xxhash64("a", "b"), "b")
-    o = members.select("b", "n", "hub", F.row_number().over(after).alias("place"), *[F.lead(c).over(after).alias("o_" + c) for c in ("b", "n")])
-    next_ = o.filter("3 * greatest(n, o_n) <= 4 * least(n, o_n)").select("b", "o_b").union(o.filter("place = 1 and b <> hub").select("b", "hub"))
+    o = members.select("b", "n", "hub", *[F.lead(c).over(after).alias("o_" + c) for c in ("b", "n")])
+    next_ = o.filter("3 * greatest(n, o_n) <= 4 * least(n, o_n)").select("b", "o_b").union(o.filter("b <> hub").select("b", "hub"))
     return next_.select(F.least("b", "o_b").alias("a"), F.greatest("b", "o_b").alias("b"))
 
 
@@ -302,20 +302,52 @@ def salted(groups: DataFrame) -> DataFrame:
     return groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
-def across(members: DataFrame) -> DataFrame:
-    """All pairs of members of one large group that are in different components and that sizes allow (sketches are too wide to travel with them).
-
-    Of each such pair one at least is outside the group's commonest component: only those meet the others, those of like size (a size step
-    is 4/3, so one step apart at most), in parts of PART members.
+def folded(sketches_: np.ndarray, words: int) -> np.ndarray:
+    return sketches_ if sketches_.shape[1] == words else sketches_[:, :words] ^ sketches_[:, words:]
+
+
+def rivals(frame: pd.DataFrame) -> pd.DataFrame:
+    """Pairs (a, b) of the groups of one bucket that components, sizes and sketches allow: each caller with each member of its group's part."""
+    order = np.lexsort((frame["part"], frame["a"]))
+    frame = frame.iloc[order]
+    group, part, b, n, component, caller = (frame[c].to_numpy() for c in ("a", "part", "b", "n", "component", "caller"))
+    sketch = frame["sketch"].tolist()
+    words = np.fromiter(map(len, sketch), np.int64, len(sketch))
+    cuts = np.nonzero(np.append(True, (group[1:] != group[:-1]) | (part[1:] != part[:-1])))[0]
+    found = [np.zeros((0, 2), np.int64)]
+    for lo, hi in zip(cuts, np.append(cuts[1:], len(frame))):
+        callers, members = lo + np.nonzero(caller[lo:hi])[0], lo + np.nonzero(~caller[lo:hi])[0]
+        for w in np.unique(words[callers]):
+            for v in (w // 2, w, 2 * w):
+                x, y = callers[words[callers] == w], members[words[members] == v]
+                if not len(y):
+                    continue
+                m = min(v, w)
+                of_y = folded(np.stack([sketch[k] for k in y]).astype(np.int64), m).view(U)
+                for own in np.array_split(x, -(-len(x) * len(y) * int(m) // (1 << 20))):
+                    of_x = folded(np.stack([sketch[k] for k in own]).astype(np.int64), m).view(U)
+                    far = np.bitwise_count(of_x[:, None, :] ^ of_y[None, :, :]).sum(2, dtype=np.int64)
+                    p, q = n[own][:, None], n[y][None, :]
+                    near = (component[own][:, None] != component[y][None, :]) & (3 * np.maximum(p, q) <= 4 * np.minimum(p, q)) & (7 * far <= p + q)
+                    r, s = np.nonzero(near)
+                    found.append(np.sort(np.stack([b[own][r], b[y][s]], 1), axis=1))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def across(members: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
+    """Pairs of members of one large group that are in different components and that sizes and sketches allow. members: a, b, salt, component.
+
+    Of each such pair one at least is outside the group's commonest component: only those are tried with the others, in parts of PART
+    members. Sketches are compared in arrays: pairs that they refuse never become rows.
     """
     sizes = members.groupBy("a", "component").agg(F.count("*").alias("k"))
     main = sizes.groupBy("a").agg(F.max(F.struct("k", "component")).alias("m"), F.sum("k").alias("k")).select("a", F.col("m.component").alias("main"), F.ceil(F.col("k") / PART).cast("int").alias("parts"))
-    step = F.floor(F.ln("n") / math.log(4 / 3)).cast("int")
-    members = members.join(salted(main), ["a", "salt"]).withColumns({"step": step, "part": F.pmod(F.xxhash64(F.lit(1), "b"), F.col("parts")).cast("int")})
-    few = members.filter("component <> main").select("a", *[F.col(c).alias("o_" + c) for c in ("b", "n", "component")], F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)).alias("step"), "parts")
-    few = few.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    pairs = few.join(members, ["a", "part", "step"]).filter("component <> o_component and 3 * greatest(n, o_n) <= 4 * least(n, o_n)")
-    return pairs.select(F.least("b", "o_b").alias("a"), F.greatest("b", "o_b").alias("b"))
+    members = members.join(salted(main), ["a", "salt"])
+    own = members.select("a", "b", "component", F.lit(False).alias("caller"), F.pmod(F.xxhash64(F.lit(1), "b"), F.col("parts")).cast("int").alias("part"))
+    callers = members.filter("component <> main").select("a", "b", "component", F.lit(True).alias("caller"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    rows = own.union(callers).join(known.select(F.col("class").alias("b"), "n", "sketch"), "b").withColumn("bucket", F.pmod(F.xxhash64("a", "part"), F.lit(buckets)).cast("int"))
+    return rows.groupBy("bucket").applyInPandas(rivals, "a long, b long")
 
 
 def sketched(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -425,7 +457,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     free_shuffles(spark)
     near = sketched(met.filter("kind = 0").select("a", "b").distinct(), known)
     large = met.filter("kind = 1").select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
-    groups = large.filter(F.pmod("a", F.lit(SPARSE)) == 0).groupBy("a").agg(F.count("*").alias("k"), F.min("b").alias("hub"))
+    some = large.filter(F.pmod("a", F.lit(SPARSE)) == 0).join(large.groupBy("b").agg(F.count("*").alias("degree")), "b")
+    groups = some.groupBy("a").agg(F.count("*").alias("k"), F.max(F.struct("degree", "b"))["b"].alias("hub"))
     sized = large.join(salted(groups), ["a", "salt"]).join(known.select(F.col("class").alias("b"), "n"), "b")
     # First each class with one candidate, and members of large groups with a few others; then what is still apart.
     both = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -441,11 +474,12 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     free_shuffles(spark)
     apart = large.join(placed, F.col("b") == F.col("node"), "left").select("a", "b", "salt", F.coalesce("component", "b").alias("component"))
     torn = apart.groupBy("a").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("a")
-    torn = apart.join(salted(torn), ["a", "salt"]).join(known.select(F.col("class").alias("b"), "n"), "b")
+    torn = cut(apart.join(salted(torn), ["a", "salt"]))
     place = lambda x: placed.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
     rest = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(place("a"), "a", "left").join(place("b"), "b", "left")
     rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    links = links.union(confirmed(sketched(rest.union(across(torn)).distinct(), known)))
+    parts = max(n_partitions(spark), math.ceil(512 * torn.count() / BUCKET_BYTES))  # some 512 bytes a member
+    links = links.union(confirmed(cut(sketched(rest, known).union(across(torn, known, parts)).distinct())))
     placed = components(links)
     free_shuffles(spark)
     found = placed.join(known.select(F.col("class").alias("node"), "rep"), "node")

@@ -14,21 +14,23 @@ from quire.plans.model import sql, table
 from quire.plans.registry import query
 
 #: ASCII letters only, as one engine's edit distance counts bytes.
-LINE_PAIRS = "pairs AS (SELECT doc_id, line_idx, a AS gt, translate(a, 'eao', 'coa') || CASE WHEN line_idx % 3 = 0 THEN ' x' ELSE '' END AS ocr FROM (SELECT doc_id, line_idx, left(regexp_replace(line, '[^ -~]', '', 'g'), 60) AS a FROM ln) WHERE a <> '')"
+LINE_PAIRS = "pairs AS (SELECT doc_id, line_idx, a AS gt, translate(a, 'eao', 'coa') || CASE WHEN line_idx % 3 = 0 THEN ' x' ELSE '' END AS ocr FROM (SELECT doc_id, line_idx, regexp_replace(line, '[^ -~]', '', 'g') AS a FROM ln) WHERE a <> '')"
 
 
-def line_pairs(spark, d, whole=False):
-    """Lines cut to 60 characters, as in LINE_PAIRS, or whole ones."""
+def line_pairs(spark, d, whole=True):
+    """Lines as in LINE_PAIRS, or cut to 60 characters."""
     a = F.regexp_replace("line", "[^ -~]", "")
     a = a if whole else F.left(a, F.lit(60))
     ls = M.lines(table(spark, d, "documents")).select("doc_id", "line_idx", a.alias("gt")).filter("gt <> ''")
+    # edit distances are quadratic in a line: the long lines of one file are dealt to all tasks
+    ls = ls.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "line_idx")
     return ls.withColumn("ocr", F.concat(F.translate("gt", "eao", "coa"), F.when(F.col("line_idx") % 3 == 0, " x").otherwise("")))
 
 
 @query("t27_a04_line_error_rate", sql(f", {LINE_PAIRS} SELECT doc_id, count(*) AS n_lines, sum(length(gt))::BIGINT AS chars, sum(levenshtein(gt, ocr))::BIGINT AS distance, round(sum(levenshtein(gt, ocr))::DOUBLE / sum(length(gt)), 3) AS cer FROM pairs GROUP BY doc_id"))
 def line_error_rate(spark, d):
     """T-27, A-02, A-04: character error rates of lines."""
-    p = line_pairs(spark, d).withColumn("distance", F.levenshtein("gt", "ocr"))
+    p = line_pairs(spark, d).withColumn("distance", E.line_distance(F.col("gt"), F.col("ocr")))
     return p.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.char_length("gt")).alias("chars"), F.sum("distance").alias("distance"), E.error_rate(F.col("distance"), F.char_length("gt")).alias("cer"))
 
 
@@ -42,26 +44,26 @@ def word_error_rate(spark, d):
 @query("a04_line_record")
 def line_record(spark, d):
     """A-04: the whole record by line, words' distances included."""
-    return E.line_errors(line_pairs(spark, d, whole=True))
+    return E.line_errors(line_pairs(spark, d))
 
 
 @query("a05_edit_histogram")
 def edit_histogram(spark, d):
     """A-05, O-03, T-28: edit operations of all lines."""
-    return E.edit_histogram(line_pairs(spark, d))
+    return E.edit_histogram(line_pairs(spark, d, whole=False))
 
 
 @query("a06_charset_errors")
 def charset_errors(spark, d):
     """A-06: errors by charset."""
-    p = line_pairs(spark, d).select(E.charset_error_counts("gt", "ocr").alias("e"))
+    p = line_pairs(spark, d, whole=False).select(E.charset_error_counts("gt", "ocr").alias("e"))
     return p.agg(*[F.sum(f"e.{c}").alias(c) for c in ("latin", "greek", "numeral", "punctuation")])
 
 
 @query("a25_mean_improvement", sql(f", {LINE_PAIRS} SELECT doc_id, round(avg((levenshtein(gt, ocr) - levenshtein(gt, replace(ocr, 'c', 'e')))::DOUBLE / length(gt)), 6) AS improvement FROM pairs GROUP BY doc_id"))
 def mean_improvement(spark, d):
     """A-25: what a correction gains, as edits per character."""
-    gain = (F.levenshtein("gt", "ocr") - F.levenshtein("gt", F.replace("ocr", F.lit("c"), F.lit("e")))) / F.char_length("gt")
+    gain = (E.line_distance(F.col("gt"), F.col("ocr")) - E.line_distance(F.col("gt"), F.replace("ocr", F.lit("c"), F.lit("e")))) / F.char_length("gt")
     return line_pairs(spark, d).groupBy("doc_id").agg(F.round(F.avg(gain), 6).alias("improvement"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
 from quire.functions import interval as I
+from quire.functions.text import base_code
 from quire.operators import containers as C
 from quire.plans import model as M
 from quire.plans.model import sql, table
@@ -208,10 +209,10 @@ def coarse_labels(spark, d):
     return M.regions(M.words(docs(spark, d))).groupBy(F.element_at(names, F.col("region_type")).alias("coarse")).agg(F.count("*").alias("n"))
 
 
-@query("p19_list_chunks", "SELECT user_id, i AS chunk, ids[i * 4 + 1: i * 4 + 4] || list_resize([]::BIGINT[], greatest(0, (i * 4 + 4 - len(ids))::INT)) AS ids FROM (SELECT user_id, list(event_id ORDER BY event_id) AS ids FROM events WHERE user_id < 40 GROUP BY user_id), generate_series(0, (len(ids) - 1) // 4) g(i)")
+@query("p19_list_chunks", "SELECT user_id, i AS chunk, ids[i * 4 + 1: i * 4 + 4] || list_resize([]::BIGINT[], greatest(0, (i * 4 + 4 - len(ids))::INT)) AS ids FROM (SELECT user_id, list(event_id ORDER BY event_id) AS ids FROM events GROUP BY user_id), generate_series(0, (len(ids) - 1) // 4) g(i)")
 def list_chunks(spark, d):
     """P-19: lists in chunks of four, the last padded with nulls."""
-    rows = table(spark, d, "events").filter("user_id < 40").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
+    rows = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
     parts = F.transform(F.sequence(F.lit(0), (F.size("ids") - 1), F.lit(4)), lambda i: F.slice("ids", i + 1, 4))
     rows = rows.select("user_id", F.posexplode(parts).alias("chunk", "part"))
     return rows.select("user_id", "chunk", F.concat("part", F.array_repeat(F.lit(None).cast("long"), 4 - F.size("part"))).alias("ids"))
@@ -220,14 +221,15 @@ def list_chunks(spark, d):
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-@query("p20_base62_codes", f"SELECT event_id, CASE WHEN event_id >= 3844 THEN substr('{ALPHABET}', (event_id // 3844 % 62 + 1)::INT, 1) ELSE '0' END || substr('{ALPHABET}', (event_id // 62 % 62 + 1)::INT, 1) || substr('{ALPHABET}', (event_id % 62 + 1)::INT, 1) AS code, substr('{ALPHABET}', (year(ts) % 10 + 1)::INT, 1) || substr('{ALPHABET}', (month(ts) + 1)::INT, 1) || substr('{ALPHABET}', (day(ts) + 1)::INT, 1) || substr('{ALPHABET}', (hour(ts) + 1)::INT, 1) || substr('{ALPHABET}', (minute(ts) + 1)::INT, 1) || substr('{ALPHABET}', (second(ts) + 1)::INT, 1) AS datecode FROM events WHERE event_id < 238328")
+SQL_PLACES = " || ".join(f"CASE WHEN {k} < 3 OR event_id >= {62**k} THEN substr('{ALPHABET}', (event_id // {62**k} % 62 + 1)::INT, 1) ELSE '' END" for k in range(10, -1, -1))
+
+
+@query("p20_base62_codes", f"SELECT event_id, {SQL_PLACES} AS code, substr('{ALPHABET}', (year(ts) % 10 + 1)::INT, 1) || substr('{ALPHABET}', (month(ts) + 1)::INT, 1) || substr('{ALPHABET}', (day(ts) + 1)::INT, 1) || substr('{ALPHABET}', (hour(ts) + 1)::INT, 1) || substr('{ALPHABET}', (minute(ts) + 1)::INT, 1) || substr('{ALPHABET}', (second(ts) + 1)::INT, 1) AS datecode FROM (SELECT event_id * 65537 AS event_id, ts FROM events)")
 def base62_codes(spark, d):
-    """P-20, D-02: numbers and dates in base 62, padded to three places."""
-    e = table(spark, d, "events").filter("event_id < 238328")
-    sign = lambda v: F.substring(F.lit(ALPHABET), (v % 62 + 1).cast("int"), F.lit(1))
-    code = F.concat(*[sign(F.floor(F.col("event_id") / 62**k)) for k in (2, 1, 0)])
-    date = F.concat(sign(F.year("ts") % 10), *[sign(f("ts")) for f in (F.month, F.day, F.hour, F.minute, F.second)])
-    return e.select("event_id", code.alias("code"), date.alias("datecode"))
+    """P-20, D-02: numbers and dates in base 62, with as many places as a number needs and three at least."""
+    e = table(spark, d, "events").select((F.col("event_id") * 65537).alias("event_id"), "ts")
+    date = F.concat(*[F.substring(F.lit(ALPHABET), (v % 62 + 1).cast("int"), F.lit(1)) for v in (F.year("ts") % 10, *[f("ts") for f in (F.month, F.day, F.hour, F.minute, F.second)])])
+    return e.select("event_id", base_code(F.col("event_id"), ALPHABET, 3).alias("code"), date.alias("datecode"))
 
 
 @query("f01_interval_overlap", sql("SELECT a.doc_id, a.region_idx, b.region_idx AS other, greatest(least(a.w_end, b.w_end + 20) + 1 - greatest(a.w_start, b.w_start - 20), 0) AS overlap FROM regions a JOIN regions b ON a.doc_id = b.doc_id AND a.region_idx < b.region_idx WHERE greatest(least(a.w_end, b.w_end + 20) + 1 - greatest(a.w_start, b.w_start - 20), 0) > 0"))

@@ -307,7 +307,10 @@ def folded(sketches_: np.ndarray, words: int) -> np.ndarray:
 
 
 def rivals(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (a, b) of the groups of one bucket that components, sizes and sketches allow: each caller with each member of its group's part."""
+    """Pairs of the groups of one bucket that components, sizes and sketches allow: each caller with each member of its group's part.
+
+    Groups of one family share most of their members, so a pair comes from many groups: it goes packed to the bucket of its own that drops the others.
+    """
     order = np.lexsort((frame["part"], frame["a"]))
     frame = frame.iloc[order]
     group, part, b, n, component, caller = (frame[c].to_numpy() for c in ("a", "part", "b", "n", "component", "caller"))
@@ -332,6 +335,16 @@ def rivals(frame: pd.DataFrame) -> pd.DataFrame:
                     r, s = np.nonzero(near)
                     found.append(np.sort(np.stack([b[own][r], b[y][s]], 1), axis=1))
     pairs = np.unique(np.concatenate(found), axis=0)
+    buckets = int(frame["buckets"].iloc[0])
+    where = (A.mix(pairs[:, 0].view(U) ^ A.mix(pairs[:, 1].view(U))) % U(buckets)).astype(np.int64)
+    pairs, where = pairs[np.argsort(where, kind="stable")], np.sort(where, kind="stable")
+    to, cuts = np.unique(where, return_index=True)
+    return pd.DataFrame({"bucket": to.astype(np.int32), "pairs": [x.tobytes() for x in np.split(pairs, cuts[1:])][: len(to)]})
+
+
+def once(frame: pd.DataFrame) -> pd.DataFrame:
+    """The distinct pairs (a, b) of one bucket of packed ones."""
+    pairs = np.unique(np.frombuffer(b"".join(frame["pairs"]), np.int64).reshape(-1, 2), axis=0)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
@@ -339,7 +352,8 @@ def across(members: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
     """Pairs of members of one large group that are in different components and that sizes and sketches allow. members: a, b, salt, component.
 
     Of each such pair one at least is outside the group's commonest component: only those are tried with the others, in parts of PART
-    members. Sketches are compared in arrays: pairs that they refuse never become rows.
+    members. Sketches are compared in arrays: pairs that they refuse never become rows, and the others become one row each, however many groups
+    they share.
     """
     sizes = members.groupBy("a", "component").agg(F.count("*").alias("k"))
     main = sizes.groupBy("a").agg(F.max(F.struct("k", "component")).alias("m"), F.sum("k").alias("k")).select("a", F.col("m.component").alias("main"), F.ceil(F.col("k") / PART).cast("int").alias("parts"))
@@ -347,7 +361,8 @@ def across(members: DataFrame, known: DataFrame, buckets: int) -> DataFrame:
     own = members.select("a", "b", "component", F.lit(False).alias("caller"), F.pmod(F.xxhash64(F.lit(1), "b"), F.col("parts")).cast("int").alias("part"))
     callers = members.filter("component <> main").select("a", "b", "component", F.lit(True).alias("caller"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     rows = own.union(callers).join(known.select(F.col("class").alias("b"), "n", "sketch"), "b").withColumn("bucket", F.pmod(F.xxhash64("a", "part"), F.lit(buckets)).cast("int"))
-    return rows.groupBy("bucket").applyInPandas(rivals, "a long, b long")
+    packed = rows.withColumn("buckets", F.lit(buckets)).groupBy("bucket").applyInPandas(rivals, "bucket int, pairs binary")
+    return packed.groupBy("bucket").applyInPandas(once, "a long, b long")
 
 
 def sketched(pairs: DataFrame, known: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from quire.llm import jaccard
@@ -62,3 +63,17 @@ def test_sketch_distance_is_a_lower_bound(spark):
         apart = len(np.setxor1d(sets[r["a"]], sets[r["b"]]))
         assert 0 <= r["far"] <= apart and (r["far"] - apart) % 2 == 0
     assert len(pairs) > 15
+
+
+def test_a_pair_that_groups_share_is_one_row():
+    """rivals() and once() against all pairs of callers and members, with several groups of the same members."""
+    rng = np.random.default_rng(1)
+    ids, own = rng.integers(-(2**62), 2**62, 40), [rng.integers(-(2**62), 2**62, 2) for _ in range(40)]
+    sketch = [own[0] if i % 2 else x for i, x in enumerate(own)]
+    for groups, buckets in ((5, 7), (3, 1)):
+        rows = [(g, 0, c, 60 + i % 3, c, caller, sketch[i], buckets) for g in range(groups) for i, c in enumerate(ids) for caller in (False, True) if i < 7 or not caller]
+        packed = jaccard.rivals(pd.DataFrame(rows, columns=["a", "part", "b", "n", "component", "caller", "sketch", "buckets"]))
+        found = [p for _, x in pd.concat([packed, packed]).groupby("bucket") for p in jaccard.once(x).itertuples(index=False, name=None)]
+        far = lambda i, j: sum(((int(x) ^ int(y)) & 2**64 - 1).bit_count() for x, y in zip(sketch[i], sketch[j]))
+        want = {tuple(sorted((ids[i], ids[j]))) for i in range(7) for j in range(40) if i != j and 7 * far(i, j) <= 120 + i % 3 + j % 3}
+        assert len(found) == len(set(found)) and set(found) == want

@@ -147,3 +147,21 @@ def test_whole_lines(spark):
     assert pairs.agg(F.max(F.char_length("gt"))).first()[0] > 60
     record = Q.line_record(spark, "/root/testdata/sf0.001")
     assert record.agg(F.max(F.char_length("gt"))).first()[0] == pairs.agg(F.max(F.char_length("gt"))).first()[0]
+
+
+def test_lines_of_two_detectors():
+    from quire.operators.layout_eval import merged_lines
+
+    single = [(0, 100 * i, 999, 100 * i + 29) for i in range(8)]  # mean height 30
+    assert merged_lines(single, []) == single
+    assert merged_lines([*single, (0, 900, 999, 909)], []) == single  # flat: 10 is not above 0.35 * 30
+    assert merged_lines(single, [(0, 900, 999, 909), (0, 950, 999, 979)]) == [*single, (0, 950, 999, 979)]
+    tall = (0, 1000, 999, 1059)
+    parts = [(0, 1000, 999, 1025), (0, 1030, 999, 1059)]
+    assert merged_lines([*single, tall], parts) == [*single, *parts]
+    assert merged_lines([*single, tall], [(2, 1001, 990, 1057)]) == [*single, tall]  # one part, double too
+    assert merged_lines([*single, tall], []) == single  # a double line without parts
+    assert merged_lines([*single, tall], parts[:1]) == [*single, parts[0]]  # one single part: the line goes, the part is added
+    halves = [(0, 2, 399, 27), (700, 2, 999, 27)]
+    assert merged_lines(single, halves, split=True)[:2] == [(0, 0, 399, 29), (399 + 200, 0, 999, 29)]
+    assert merged_lines([], []) == []

@@ -96,7 +96,9 @@ def test_exports(spark):
 
 
 def test_cleaning(spark):
-    assert K.without_headers(["HEAD 12 one two", "HEAD 13 three four", "own page"]) == ["one two", "three four", "own page"]
+    assert K.without_headers(["HEAD 12 one two", "HEAD 13 three four", "own page"]) == {0: "one two", 1: "three four", 2: "own page"}
+    assert K.without_headers(["", "a b x", "c d", "a b y", "c e", "12"]) == {1: "x", 2: "d", 3: "y", 4: "e"}  # empty pages out, one word a round
+    assert K.without_headers(["a", "a b c", "d a"]) == {0: "a", 1: "b c", 2: "d"}  # no page loses its last word
     words = spark.createDataFrame([("Ajbx,",), ("AJBX",), ("zzzzz",), ("ajax",)], "word string")
     out = K.correct_words(words, spark.createDataFrame([("ajax",), ("troy",)], "entry string")).collect()
     assert {(r["word"], r["corrected"]) for r in out} == {("Ajbx,", "Ajax,"), ("AJBX", "AJAX"), ("zzzzz", "zzzzz"), ("ajax", "ajax")}

@@ -9,6 +9,7 @@ from quire.functions import geometry as G
 from quire.functions import interval as I
 from quire.functions.text import base_code
 from quire.operators import containers as C
+from quire.operators import layout_eval as L
 from quire.plans import model as M
 from quire.plans.model import sql, table
 from quire.plans.registry import query
@@ -334,26 +335,28 @@ def margin_filter(spark, d):
     return M.words(docs(spark, d)).filter(~((F.col("x2") < 100) | (F.col("x1") > 2000))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+OVER = "greatest(least({0}x2, b.x2) + 1 - greatest({0}x1, b.x1), 0) * greatest(least(a.y2, b.y2) + 1 - greatest(a.y1, b.y1), 0)"
+
+
 @query("j06_relaxed_words", sql(f"""
-, spans AS (SELECT doc_id, line_idx, min(word_idx) AS k, min(x1) + 30 AS x1, min(y1) + 3 AS y1, min(x2) + 60 AS x2, min(y2) + 3 AS y2 FROM words WHERE pos % 40 = 5 GROUP BY doc_id, line_idx),
-scored AS (SELECT a.doc_id, a.k, b.word_idx, {IOU} AS o, (b.x2 - b.x1 + 1) * (b.y2 - b.y1 + 1) AS area, ((b.x1 + b.x2) // 2 - (a.x1 + a.x2) // 2) AS dx, ((b.y1 + b.y2) // 2 - (a.y1 + a.y2) // 2) AS dy FROM spans a JOIN words b ON a.doc_id = b.doc_id AND a.line_idx = b.line_idx),
-best AS (SELECT doc_id, k, max(CASE WHEN o > 0.8 * area THEN 8 WHEN o > 0.7 * area THEN 7 WHEN o > 0.6 * area THEN 6 WHEN o > 0.5 * area THEN 5 WHEN o > 0.4 * area THEN 4 WHEN o > 0.3 * area THEN 3 ELSE 0 END) AS t FROM scored GROUP BY ALL),
-nearest AS (SELECT doc_id, k, arg_min(word_idx, (dx * dx + 10 * dy * dy) * 100000000 + word_idx) AS near_word FROM scored GROUP BY ALL)
-SELECT b.doc_id, b.k, b.t AS tenths, CASE WHEN b.t = 0 THEN n.near_word ELSE (SELECT min(word_idx) FROM scored s WHERE s.doc_id = b.doc_id AND s.k = b.k AND s.o * 10 > b.t * s.area) END AS first_word FROM best b JOIN nearest n USING (doc_id, k)"""))
+, spans AS (SELECT doc_id, min(word_idx) AS k, min(x1) + 30 + CASE WHEN min(word_idx) % 97 = 0 THEN 100000 ELSE 0 END AS x1, min(y1) + 3 * (min(word_idx) % 9) AS y1, min(x2) + 10 * (min(word_idx) % 13) + CASE WHEN min(word_idx) % 97 = 0 THEN 100000 ELSE 0 END AS x2, min(y2) + 3 AS y2 FROM words WHERE pos % 40 = 5 GROUP BY doc_id, line_idx),
+boxes AS (SELECT doc_id, k, 0 AS box_no, x1, y1, greatest(x1, x2) AS x2, y2 FROM spans UNION ALL SELECT doc_id, k, 1, x1 - 60, y1 + 40, greatest(x1, x2) - 60, y2 + 40 FROM spans WHERE k % 3 = 0),
+pad AS (SELECT *, x1 - (x2 - x1 + 1) // 5 AS wx1, x2 + (x2 - x1 + 1) // 5 AS wx2 FROM boxes),
+pairs AS (SELECT a.doc_id, a.k, b.word_idx, max({OVER.format("a.")} * 10 / ((b.x2 - b.x1 + 1) * (b.y2 - b.y1 + 1))) AS inner_share, max({OVER.format("a.w")} * 10 / ((b.x2 - b.x1 + 1) * (b.y2 - b.y1 + 1))) AS wide_share FROM pad a JOIN words b ON a.doc_id = b.doc_id AND a.y1 <= b.y2 AND b.y1 <= a.y2 GROUP BY ALL),
+tries AS (SELECT doc_id, k, 9 AS t, word_idx FROM pairs WHERE inner_share > 8 UNION ALL SELECT doc_id, k, t, word_idx FROM pairs, generate_series(2, 8) g(t) WHERE wide_share > t),
+hits AS (SELECT doc_id, k, t, word_idx FROM tries QUALIFY t = max(t) OVER (PARTITION BY doc_id, k)),
+lost AS (SELECT * FROM boxes WHERE box_no = 0 AND (doc_id, k) NOT IN (SELECT (doc_id, k) FROM hits)),
+near AS (SELECT a.doc_id, a.k, arg_min(b.word_idx, power(b.x1 + (b.x2 - b.x1 + 1) // 2 - a.x1 - (a.x2 - a.x1 + 1) // 2, 2) + 10 * power(b.y1 + (b.y2 - b.y1 + 1) // 2 - a.y1 - (a.y2 - a.y1 + 1) // 2, 2) + b.word_idx * 1e-9) AS w FROM lost a JOIN words b USING (doc_id) GROUP BY a.doc_id, a.k)
+SELECT doc_id, k, CASE WHEN max(t) = 9 THEN 'inside' ELSE 'wide' END AS how, string_agg(word_idx, ' ' ORDER BY word_idx) AS words FROM hits GROUP BY doc_id, k UNION ALL SELECT doc_id, k, 'nearest', w::VARCHAR FROM near"""))
 def relaxed_words(spark, d):
-    """J-06: words under a drawn box at the strictest threshold that finds any, else the nearest word."""
+    """J-06: words of the page under the drawn boxes of annotations (some of two boxes, some beside the page)."""
     ws = M.words(docs(spark, d))
-    spans = ws.filter("pos % 40 = 5").groupBy("doc_id", "line_idx").agg(F.min("word_idx").alias("k"), (F.min("x1") + 30).alias("a_x1"), (F.min("y1") + 3).alias("a_y1"), (F.min("x2") + 60).alias("a_x2"), (F.min("y2") + 3).alias("a_y2"))
-    pairs = spans.join(ws.select("doc_id", "line_idx", "word_idx", *[F.col(c).alias("b_" + c) for c in ("x1", "y1", "x2", "y2")]), ["doc_id", "line_idx"])
-    a, b = G.box("a_"), G.box("b_")
-    level = F.lit(0)
-    for t in range(3, 9):
-        level = F.when(b.mostly_inside(a, t / 10), t).otherwise(level)
-    mid = lambda p, c: F.expr(f"({p}_{c}1 + {p}_{c}2) div 2")
-    dx, dy = mid("b", "x") - mid("a", "x"), mid("b", "y") - mid("a", "y")
-    pairs = pairs.select("doc_id", "k", "word_idx", level.alias("level"), (dx * dx + 10 * dy * dy).cast("long").alias("far"))
-    best = pairs.groupBy("doc_id", "k").agg(F.max(F.struct("level", -F.col("word_idx"))).alias("m"), F.min(F.struct("far", "word_idx")).alias("n"))
-    return best.select("doc_id", "k", F.col("m.level").alias("tenths"), F.when(F.col("m.level") == 0, F.col("n.word_idx")).otherwise(-F.col("m.col2")).alias("first_word"))
+    away = F.when(F.col("k") % 97 == 0, 100000).otherwise(0)
+    spans = ws.filter("pos % 40 = 5").groupBy("doc_id", "line_idx").agg(F.min("word_idx").alias("k"), *[F.min(c).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    spans = spans.select("doc_id", "k", (F.col("x1") + 30 + away).alias("x1"), (F.col("y1") + 3 * (F.col("k") % 9)).alias("y1"), (F.col("x2") + 10 * (F.col("k") % 13) + away).alias("x2"), (F.col("y2") + 3).alias("y2")).withColumn("x2", F.greatest("x1", "x2"))
+    second = spans.filter("k % 3 = 0").select("doc_id", "k", F.lit(1).alias("box_no"), *[(F.col(c) + by).alias(c) for c, by in (("x1", -60), ("y1", 40), ("x2", -60), ("y2", 40))])
+    found = L.drawn_words(spans.withColumn("box_no", F.lit(0)).unionByName(second), ws)
+    return found.select("doc_id", "k", "how", F.array_join(F.transform("words", lambda w: w.cast("string")), " ").alias("words"))
 
 
 OFFSETS = "offs AS (SELECT source, doc_id, word_idx, text, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b FROM words)"

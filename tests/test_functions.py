@@ -165,3 +165,32 @@ def test_lines_of_two_detectors():
     halves = [(0, 2, 399, 27), (700, 2, 999, 27)]
     assert merged_lines(single, halves, split=True)[:2] == [(0, 0, 399, 29), (399 + 200, 0, 999, 29)]
     assert merged_lines([], []) == []
+
+
+def test_word_distance_against_the_table():
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ([rng.choice("ab cd ef g".split()) for _ in range(rng.randrange(9))] for _ in range(2))
+        assert E.bit_distance(a, b) == E.distance_table(a, b)[-1][-1]
+
+
+def test_a_truth_is_hit_once_and_under_its_label(spark):
+    truths = spark.createDataFrame([(1, "x", 0, 0, 0, 9, 9), (1, "y", 1, 0, 0, 9, 9)], "doc_id long, label string, n int, x1 int, y1 int, x2 int, y2 int")
+    found = [(1, "x", 1, 5, 0, 0, 9, 9), (1, "x", 2, 7, 0, 0, 9, 8), (1, "y", 3, 5, 0, 0, 9, 4), (2, "x", 4, 9, 0, 0, 9, 9), (1, "z", 5, 1, 0, 0, 9, 9)]
+    predictions = spark.createDataFrame(found, "doc_id long, label string, id long, conf int, x1 int, y1 int, x2 int, y2 int")
+    hits = {r.id: r.hit for r in L.first_hits(predictions, truths).collect()}
+    assert hits == {1: 0, 2: 1, 3: 0, 4: 0, 5: 0}  # half an overlap is not more than half
+
+
+def test_words_under_drawn_boxes(spark):
+    shape = "x1 int, y1 int, x2 int, y2 int"
+    words = spark.createDataFrame([(1, w, w * 100, 60, w * 100 + 79, 99) for w in range(6)], f"doc_id long, word_idx long, {shape}")
+    drawn = [
+        (1, 10, 0, 90, 50, 190, 110), (1, 10, 1, 300, 50, 400, 110),  # two boxes, a word inside each
+        (1, 11, 0, 130, 60, 199, 99),  # grown by 14 it holds 64 of 80 columns: eight tenths are not more than eight
+        (1, 12, 0, 100, 400, 180, 420),  # far below
+        (2, 13, 0, 0, 0, 9, 9),  # a page without words
+    ]
+    boxes = spark.createDataFrame(drawn, f"doc_id long, k int, box_no int, {shape}")
+    found = {r.k: (r.how, list(r.words)) for r in L.drawn_words(boxes, words).collect()}
+    assert found == {10: ("inside", [1, 3]), 11: ("wide", [1]), 12: ("nearest", [1])}

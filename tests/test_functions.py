@@ -194,3 +194,21 @@ def test_words_under_drawn_boxes(spark):
     boxes = spark.createDataFrame(drawn, f"doc_id long, k int, box_no int, {shape}")
     found = {r.k: (r.how, list(r.words)) for r in L.drawn_words(boxes, words).collect()}
     assert found == {10: ("inside", [1, 3]), 11: ("wide", [1]), 12: ("nearest", [1])}
+
+
+def test_error_rates_of_whole_lines_against_the_table(spark, tmp_path):
+    from quire.plans import catalog
+
+    rng = random.Random(7)
+    texts = ["\n".join(" ".join(rng.choice(["one", "sea", "oak  tree", "by", "area"]) for _ in range(rng.randrange(1, 9))) for _ in range(5)) for _ in range(4)]
+    rows = [(i, "s", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [0] * 5
+    for text in texts:
+        for i, gt in enumerate(text.split("\n")):
+            ocr = gt.translate(str.maketrans("eao", "coa")) + (" x" if i % 3 == 0 else "")
+            pair = (len(gt), E.distance_table(gt, ocr)[-1][-1], len(gt.split(" ")), E.distance_table(gt.split(), ocr.split())[-1][-1])
+            want = [a + b for a, b in zip(want, (1, *pair))]
+    got = catalog.QUERIES["a04_word_error_rate"](spark, str(tmp_path)).first()
+    assert [got[c] for c in ("n_lines", "chars", "chars_distance", "words", "words_distance")] == want
+    assert (got.chars_er, got.words_er) == (round(want[2] / want[1], 3), round(want[4] / want[3], 3))

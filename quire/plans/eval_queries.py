@@ -198,12 +198,17 @@ SELECT label, round(sum(hit * env / n_gt), 6) AS ap, count(*) AS n_pred, max(n_g
 def average_precision(spark, d):
     """A-17: average precision by label, of shaken regions (some under a wrong label) and second finds of some."""
     r = M.regions(M.words(table(spark, d, "documents")))
-    id_ = F.col("doc_id") * 100000 + F.col("region_idx")
-    first = predicted(r).withColumn("label", F.when(F.col("region_idx") % 5 == 4, "footnote").otherwise(F.col("label")))
-    first = first.select(id_.alias("id"), "doc_id", "label", ((F.col("doc_id") * 31 + F.col("region_idx") * 17) % 101).alias("conf"), *L.BOX)
-    second = r.filter("region_idx % 2 = 0").select((id_ + 50000).alias("id"), "doc_id", F.col("region_type").alias("label"), ((F.col("doc_id") * 13 + F.col("region_idx") * 7) % 101).alias("conf"), *[(F.col(c) + 2).alias(c) for c in L.BOX])
+    n, id_ = F.col("region_idx"), F.col("doc_id") * 100000 + F.col("region_idx")
+
+    def shape(id_, label, conf, dx, dy):
+        box = [(F.col(c) + by).cast("long").alias(c) for c, by in zip(L.BOX, (dx, dy, dx, dy))]
+        return F.struct(id_.alias("id"), label.alias("label"), conf.alias("conf"), *box)
+
+    first = F.when((F.col("doc_id") + n) % 6 != 0, shape(id_, F.when(n % 5 == 4, "footnote").otherwise(F.col("region_type")), (F.col("doc_id") * 31 + n * 17) % 101, 30 * (n % 4), 10 * (n % 3)))
+    second = F.when(n % 2 == 0, shape(id_ + 50000, F.col("region_type"), (F.col("doc_id") * 13 + n * 7) % 101, F.lit(2), F.lit(2)))
+    found = r.select("doc_id", F.explode(F.array_compact(F.array(first, second))).alias("s")).select("doc_id", "s.*")
     truths = r.select("doc_id", F.col("region_type").alias("label"), F.col("region_idx").alias("n"), *L.BOX)
-    return L.average_precision(L.first_hits(first.unionByName(second), truths), truths.groupBy("label").agg(F.count("*").alias("n_gt")))
+    return L.average_precision(L.first_hits(found, truths), truths.groupBy("label").agg(F.count("*").alias("n_gt")))
 
 
 @query("w04_reading_order")

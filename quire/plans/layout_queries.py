@@ -179,9 +179,10 @@ def iiif_urls(spark, d):
 
 @query("p14_page_numbers", sql("SELECT source || '_' || lpad(page_number::VARCHAR, 4, '0') AS page_id, page_number::INT AS number, source AS commentary FROM pages"))
 def page_numbers(spark, d):
-    """P-14, T-33: a page id's last part as a number, its first as the collection."""
-    p = M.pages(docs(spark, d)).select(F.concat("source", F.lit("_"), F.lpad(F.col("page_number").cast("string"), 4, "0")).alias("page_id"))
-    return p.select("page_id", F.element_at(F.split("page_id", "_"), -1).cast("int").alias("number"), F.substring_index("page_id", "_", 1).alias("commentary"))
+    """P-14, T-33: a page id's last part as a number, what stands before as the collection; ids are shown with four places."""
+    p = M.pages(docs(spark, d)).select(F.concat("source", F.lit("_"), F.col("page_number").cast("string")).alias("id"))
+    number, source = F.substring_index("id", "_", -1), F.regexp_extract("id", "(?s)^(.*)_", 1)
+    return p.select(F.concat(source, F.lit("_"), F.lpad(number, 4, "0")).alias("page_id"), number.cast("int").alias("number"), source.alias("commentary"))
 
 
 #: Labels of drawn regions, as derived from the types; every other one is ground truth.

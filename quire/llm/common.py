@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +83,18 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def partitions(spark: SparkSession, n: int) -> Iterator[None]:
+    """Shuffles of what is stored meanwhile have n partitions: the driver keeps something of every task and of every map output."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def input_bytes(df: DataFrame) -> int:
     """The planner's size estimate of df's sources (file sizes for a scan)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

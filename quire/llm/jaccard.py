@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import arrays as A
-from quire.llm.common import cut, cut_dealt, free_shuffles, n_partitions, ship
+from quire.llm.common import cut, cut_dealt, free_shuffles, n_partitions, partitions, ship
 from quire.llm.components import components
 
 U = np.uint64
@@ -51,6 +51,8 @@ SIZE_STEP, SIZE_APART = 1.05, 7
 HOT_LOCAL, HOT_TOTAL, HOT_MOST = 2, 16, 1 << 19
 HOT_BITS = 24
 BUCKET_BYTES = 8 << 20
+#: Partitions at least for the joins of classes and pairs.
+LEAST_PARTS = 12
 #: Bits to a class in the bitmap of those to verify, and bits at most (32 MiB): beyond that it lets more of the others pass.
 BITMAP_RATE, BITMAP_BITS = 16, 1 << 28
 SALT_SEGMENT, SALT_VALUE, SALT_ORDER, SALT_RARE = (U(x) for x in (0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x2545F4914F6CDD1D, 0x6C62272E07BB0142))
@@ -418,6 +420,38 @@ def verified(near: DataFrame, found: DataFrame) -> DataFrame:
     return cut(full.select("a", "b", "ma", "mb").mapInArrow(linked, "a long, b long"))
 
 
+def placed_classes(met: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, component) of classes that are linked. met: what meet() found."""
+    spark = texts.sparkSession
+    near = sketched(met.filter("kind = 0").select("a", "b").distinct(), known)
+    large = met.filter("kind = 1").select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
+    some = large.filter(F.pmod("a", F.lit(SPARSE)) == 0).join(large.groupBy("b").agg(F.count("*").alias("degree")), "b")
+    groups = some.groupBy("a").agg(F.count("*").alias("k"), F.max(F.struct("degree", "b"))["b"].alias("hub"))
+    sized = large.join(salted(groups), ["a", "salt"]).join(known.select(F.col("class").alias("b"), "n"), "b")
+    # First each class with one candidate, and members of large groups with a few others; then what is still apart.
+    both = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    tried = both.groupBy("b").agg(F.min("a").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    first = sketched(chained(sized).union(tried).distinct(), known)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+        return verified(pairs, whole_sets(asked.join(known, "class"), texts))
+
+    links = confirmed(first)
+    placed = components(links)
+    free_shuffles(spark)
+    apart = large.join(placed, F.col("b") == F.col("node"), "left").select("a", "b", "salt", F.coalesce("component", "b").alias("component"))
+    torn = apart.groupBy("a").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("a")
+    torn = cut(apart.join(salted(torn), ["a", "salt"]))
+    place = lambda x: placed.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    rest = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(place("a"), "a", "left").join(place("b"), "b", "left")
+    rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    parts = max(n_partitions(spark), math.ceil(512 * torn.count() / BUCKET_BYTES))  # some 512 bytes a member
+    joined = placed.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    links = joined.union(confirmed(cut(sketched(rest, known).union(across(torn, known, parts)).distinct())))
+    return components(links)
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """doc_id, th, n_shingles, class, group and component_id, a row for each row of docs.
 
@@ -431,7 +465,11 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     frequent = seen.filter("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= HOT_TOTAL).orderBy(F.desc("seen"), "shingle").limit(HOT_MOST)
     hot_list = np.sort(np.array(frequent.select("shingle").toArrow().column(0).to_numpy(), np.int64).view(U))
     shared = spark.sparkContext.broadcast(hot_list)  # at most HOT_MOST numbers
-    known = cut_dealt(rows.filter("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    # classes and pairs are a small part of the input: with as many partitions as the input their tasks would fill the driver
+    held = rows.agg(F.sum(8 * F.size("sketch") + 64)).first()[0] or 0
+    few = min(n_partitions(spark), max(LEAST_PARTS, math.ceil(held / BUCKET_BYTES)))
+    with partitions(spark, few):
+        known = cut_dealt(rows.filter("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     # some 14 bytes for every other member of a set
     buckets = max(n_partitions(spark), math.ceil(7 * (known.agg(F.sum("n")).first()[0] or 0) / BUCKET_BYTES))
 
@@ -470,32 +508,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     packed = texts.filter("doc_id is not null").select("text").mapInArrow(signed_rows, PACKED)
     met = cut(packed.withColumn("buckets", F.lit(buckets)).groupBy("bucket").applyInPandas(meet, "kind int, a long, b long"))
     free_shuffles(spark)
-    near = sketched(met.filter("kind = 0").select("a", "b").distinct(), known)
-    large = met.filter("kind = 1").select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
-    some = large.filter(F.pmod("a", F.lit(SPARSE)) == 0).join(large.groupBy("b").agg(F.count("*").alias("degree")), "b")
-    groups = some.groupBy("a").agg(F.count("*").alias("k"), F.max(F.struct("degree", "b"))["b"].alias("hub"))
-    sized = large.join(salted(groups), ["a", "salt"]).join(known.select(F.col("class").alias("b"), "n"), "b")
-    # First each class with one candidate, and members of large groups with a few others; then what is still apart.
-    both = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    tried = both.groupBy("b").agg(F.min("a").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    first = sketched(chained(sized).union(tried).distinct(), known)
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-        return verified(pairs, whole_sets(asked.join(known, "class"), texts))
-
-    links = confirmed(first)
-    placed = components(links)
-    free_shuffles(spark)
-    apart = large.join(placed, F.col("b") == F.col("node"), "left").select("a", "b", "salt", F.coalesce("component", "b").alias("component"))
-    torn = apart.groupBy("a").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("a")
-    torn = cut(apart.join(salted(torn), ["a", "salt"]))
-    place = lambda x: placed.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    rest = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(place("a"), "a", "left").join(place("b"), "b", "left")
-    rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    parts = max(n_partitions(spark), math.ceil(512 * torn.count() / BUCKET_BYTES))  # some 512 bytes a member
-    links = links.union(confirmed(cut(sketched(rest, known).union(across(torn, known, parts)).distinct())))
-    placed = components(links)
+    with partitions(spark, few):
+        placed = placed_classes(met, known, texts)
     free_shuffles(spark)
     found = placed.join(known.select(F.col("class").alias("node"), "rep"), "node")
     least = found.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -7,6 +7,8 @@ import pandas as pd
 import pytest
 
 from quire.llm import jaccard
+from quire.llm.components import components as connected
+from quire.llm.components import thinned
 
 SCHEMA = "doc_id long, text string"
 
@@ -77,3 +79,32 @@ def test_a_pair_that_groups_share_is_one_row():
         far = lambda i, j: sum(((int(x) ^ int(y)) & 2**64 - 1).bit_count() for x, y in zip(sketch[i], sketch[j]))
         want = {tuple(sorted((ids[i], ids[j]))) for i in range(7) for j in range(40) if i != j and 7 * far(i, j) <= 120 + i % 3 + j % 3}
         assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_edges_of_a_group_are_thinned(spark):
+    """Two cliques and a chain: the same components by fewer edges than pairs."""
+    edges = [(a, b) for lo in (0, 100) for a in range(lo, lo + 60) for b in range(a) if b >= lo] + [(200 + k, 201 + k) for k in range(50)]
+    random.Random(3).shuffle(edges)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    thin = thinned(df.select("a", "b")).collect()
+    assert 59 + 59 + 50 <= len(thin) <= 4 * (59 + 59) + 50 and {tuple(r) for r in thin} <= set(edges)
+    got = {r["node"]: r["component"] for r in connected(df).collect()}
+    assert got == {n: lo for lo, hi in ((0, 60), (100, 160), (200, 251)) for n in range(lo, hi)}
+
+
+def test_small_joins_have_few_partitions(spark):
+    """Tasks must not grow with the input's partitions where classes and pairs are joined; the setting comes back."""
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    texts = [" ".join(f"w{i % 40}x{j}" for j in range(30)) + f" end{i}" for i in range(120)]
+    used = []
+    old = jaccard.sketched
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        jaccard.sketched = lambda pairs, known: used.append((spark.conf.get("spark.sql.shuffle.partitions"), known.rdd.getNumPartitions())) or old(pairs, known)
+        got = jaccard.similar_documents(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+    finally:
+        jaccard.sketched = old
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+    assert used and set(used) == {(str(jaccard.LEAST_PARTS), jaccard.LEAST_PARTS)}
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i % 40 for i in range(120)}

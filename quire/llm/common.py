@@ -59,18 +59,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """What is stored meanwhile is planned with this setting."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def planned_once(spark: SparkSession):
+    """Plans are not made again after each of their stages: that costs the driver a job, an event and a plan for every exchange."""
+    return setting(spark, "spark.sql.adaptive.enabled", "false")
+
+
 def cut_dealt(df: DataFrame) -> DataFrame:
     """cut(), remembering how the last shuffle dealt df out, so that joins on its keys need not shuffle it again.
 
     Adaptive plans forget that: they are off while df is stored.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
-    before = conf.get(name)
-    conf.set(name, "false")
-    try:
+    with planned_once(df.sparkSession):
         return cut(df)
-    finally:
-        conf.set(name, before)
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -83,16 +94,9 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-@contextmanager
-def partitions(spark: SparkSession, n: int) -> Iterator[None]:
+def partitions(spark: SparkSession, n: int):
     """Shuffles of what is stored meanwhile have n partitions: the driver keeps something of every task and of every map output."""
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(n))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    return setting(spark, "spark.sql.shuffle.partitions", str(n))
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import arrays as A
-from quire.llm.common import cut, cut_dealt, free_shuffles, n_partitions, partitions, ship
+from quire.llm.common import cut, cut_dealt, free_shuffles, n_partitions, partitions, planned_once, ship
 from quire.llm.components import components
 
 U = np.uint64
@@ -437,7 +437,9 @@ def placed_classes(met: DataFrame, known: DataFrame, texts: DataFrame) -> DataFr
         asked = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
         return verified(pairs, whole_sets(asked.join(known, "class"), texts))
 
+    free_shuffles(spark)
     links = confirmed(first)
+    free_shuffles(spark)
     placed = components(links)
     free_shuffles(spark)
     apart = large.join(placed, F.col("b") == F.col("node"), "left").select("a", "b", "salt", F.coalesce("component", "b").alias("component"))
@@ -448,7 +450,10 @@ def placed_classes(met: DataFrame, known: DataFrame, texts: DataFrame) -> DataFr
     rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     parts = max(n_partitions(spark), math.ceil(512 * torn.count() / BUCKET_BYTES))  # some 512 bytes a member
     joined = placed.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    links = joined.union(confirmed(cut(sketched(rest, known).union(across(torn, known, parts)).distinct())))
+    others = cut(sketched(rest, known).union(across(torn, known, parts)).distinct())
+    free_shuffles(spark)
+    links = cut(joined.union(confirmed(others)))
+    free_shuffles(spark)
     return components(links)
 
 
@@ -508,7 +513,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     packed = texts.filter("doc_id is not null").select("text").mapInArrow(signed_rows, PACKED)
     met = cut(packed.withColumn("buckets", F.lit(buckets)).groupBy("bucket").applyInPandas(meet, "kind int, a long, b long"))
     free_shuffles(spark)
-    with partitions(spark, few):
+    with partitions(spark, few), planned_once(spark):
         placed = placed_classes(met, known, texts)
     free_shuffles(spark)
     found = placed.join(known.select(F.col("class").alias("node"), "rep"), "node")

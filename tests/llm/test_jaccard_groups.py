@@ -108,3 +108,17 @@ def test_small_joins_have_few_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", n)
     assert used and set(used) == {(str(jaccard.LEAST_PARTS), jaccard.LEAST_PARTS)}
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: i % 40 for i in range(120)}
+
+
+def test_small_joins_are_planned_once(spark):
+    """A plan that is made again after each stage runs a job for every exchange: the driver keeps something of all of them."""
+    sc, texts = spark.sparkContext, [" ".join(f"w{i % 40}x{j}" for j in range(30)) + f" end{i}" for i in range(120)]
+    sc.setJobGroup("small joins", "")
+    try:
+        got = jaccard.similar_documents(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i % 40 for i in range(120)}
+    print("jobs", len(sc.statusTracker().getJobIdsForGroup("small joins")))
+    assert len(sc.statusTracker().getJobIdsForGroup("small joins")) < 80
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"

@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import ascii_strip, load, shared_folder
+from quire.llm.common import ascii_strip, cut, free_shuffles, load, shared_folder
 from quire.llm.decontaminate import contaminated
 from quire.llm.jaccard import similar_documents
 from quire.llm.line_dedup import dedup_lines
@@ -60,9 +60,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows without a doc_id stay. Of rows with equal doc_id and text one stays.
     """
-    found = similar_documents(docs).filter("doc_id is not null")
-    heads = found.filter("n_shingles > 0 and doc_id = component_id").groupBy("doc_id", "group").agg(F.min("th").alias("least"))
-    apart = found.filter("n_shingles > 0").select("doc_id", "th", "group", "component_id").join(heads, ["doc_id", "group"], "left")
+    # stored: it is read twice, and the driver would hold its joins twice in the plan of the result
+    found = cut(similar_documents(docs).filter("doc_id is not null and n_shingles > 0").select("doc_id", "th", "group", "component_id"))
+    free_shuffles(spark)
+    heads = found.filter("doc_id = component_id").groupBy("doc_id", "group").agg(F.min("th").alias("least"))
+    apart = found.join(heads, ["doc_id", "group"], "left")
     gone = apart.filter("doc_id <> component_id or th <> least").select(F.col("doc_id").alias("__gone"), F.col("th").alias("__gone_th")).distinct()
     inner, names = shielded(docs)
     inner = inner.withColumn("__th", F.xxhash64("text"))

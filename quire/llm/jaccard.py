@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import arrays as A
-from quire.llm.common import cut, cut_dealt, free_shuffles, n_partitions, partitions, planned_once, ship
+from quire.llm.common import cut, cut_dealt, free_shuffles, n_partitions, partitions, planned_once, ship, trimmed
 from quire.llm.components import components
 
 U = np.uint64
@@ -116,6 +116,7 @@ def sketches(d: np.ndarray, s: np.ndarray, n: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(start // 64, pa.int32()), pa.array(np.packbits(odd.astype(np.uint8)).view(np.int64)))
 
 
+@trimmed
 def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its id, size, class and sketch; per task the shingles that many of its classes hold."""
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("sketch", pa.list_(pa.int64())), ("shingle", pa.int64()), ("seen", pa.int64())])
@@ -389,6 +390,7 @@ def whole_sets(needed: DataFrame, docs: DataFrame) -> DataFrame:
     bits = 1 << min(int(math.log2(BITMAP_BITS)), max(16, (BITMAP_RATE * needed.count()).bit_length()))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(needed, bits))  # at most BITMAP_BITS
 
+    @trimmed
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         for batch in batches:
@@ -407,6 +409,7 @@ def whole_sets(needed: DataFrame, docs: DataFrame) -> DataFrame:
 def verified(near: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs that link, by their whole sets."""
 
+    @trimmed
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -478,6 +481,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     # some 14 bytes for every other member of a set
     buckets = max(n_partitions(spark), math.ceil(7 * (known.agg(F.sum("n")).first()[0] or 0) / BUCKET_BYTES))
 
+    @trimmed
     def signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_list = shared.value
         bits = np.zeros(1 << HOT_BITS, bool)

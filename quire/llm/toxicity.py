@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import ship
+from quire.llm.common import free_memory, ship, trimmed
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5)
 MODEL_FEATURES = 100_000
 CACHED_WORDS = 200_000
+BLOCK_HITS = 1 << 18
 
 
 def features(word: str) -> list[str]:
@@ -79,24 +80,28 @@ def fit(texts: list[str], labels: list[int], l1: float = 1.0, steps: int = 200,
     words = [w for w, n in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:MODEL_FEATURES] if n >= min_docs]
     del found
     at = {w: i for i, w in enumerate(words)}
-    doc_of, hits = array("i"), []
+    doc_of, ends, hits = array("i"), array("q", [0]), array("i")
     for d, t in enumerate(texts):
         for s in SENTENCE.findall(t.lower()):
             doc_of.append(d)
-            hits.append(np.array([i for w in sorted(set(WORD.findall(s))) for f in features(w) if (i := at.get(f)) is not None], dtype=np.int32))
-    doc = np.array(doc_of, dtype=np.int32)
-    row, col = np.repeat(np.arange(len(hits), dtype=np.int32), [len(x) for x in hits]), np.concatenate([*hits, np.zeros(0, np.int32)])
-    del hits
+            hits.extend([i for w in sorted(set(WORD.findall(s))) for f in features(w) if (i := at.get(f)) is not None])
+            ends.append(len(hits))
+    doc, col, end = np.frombuffer(doc_of, np.int32), np.frombuffer(hits, np.int32), np.frombuffer(ends, np.int64)
+    # sentences by blocks of some BLOCK_HITS hits: what a step makes of the hits (three times their size and more) is a block's only
+    cuts = np.unique([0, *np.searchsorted(end, np.arange(0, len(col), BLOCK_HITS)), len(doc)])
+    blocks = [(a, e, end[a], end[e], np.diff(end[a : e + 1])) for a, e in zip(cuts[:-1], cuts[1:])]
     n, n_s, y = len(texts), len(doc), np.array(labels, dtype=bool)
     w, g2 = np.zeros(len(words)), np.full(len(words), 1e-6)
     bias, b2 = float(np.log(max(1e-4, y.mean()) * n / max(1, n_s))), 1e-6
     for _ in range(steps):
-        z = bias + np.bincount(row, w[col], n_s)
+        z = bias + np.concatenate([np.zeros(0), *(np.bincount(np.repeat(np.arange(e - a), k), w[col[i:j]], e - a) for a, e, i, j, k in blocks)])
         p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
         mass = np.bincount(doc, np.logaddexp(0, z), n)  # -log(1 - P)
         slope = np.where(y, -1 / np.maximum(np.expm1(np.minimum(mass, 50)), 1e-3), 1.0)
         gz = slope[doc] * p
-        g, gb = np.bincount(col, gz[row], len(words)), gz.sum()
+        g, gb = np.zeros(len(words)), gz.sum()
+        for a, e, i, j, k in blocks:
+            np.add.at(g, col[i:j], np.repeat(gz[a:e], k))
         g2 += g * g
         b2 += gb * gb
         step = rate / np.sqrt(g2)
@@ -136,10 +141,12 @@ def score(docs: DataFrame, model: tuple[float, dict[str, float]], keep_text: boo
             extra = [pa.array([s for s, _ in found], pa.float64()), pa.array([[{"start": a, "end": b, "p": p} for a, b, p in spans] for _, spans in found], spans_type)]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in names] + extra, names=[*names, "score", "offending"])
 
-    return docs.mapInArrow(scored, schema)
+    return docs.mapInArrow(trimmed(scored), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, keep_text: bool = True, max_docs: int = 6000) -> DataFrame:
     """docs with held_out, score, predicted and offending, by a model learnt from labels of rows not held out."""
-    found = score(docs, fit(*sample(docs, labels, max_docs)), keep_text)
+    model = fit(*sample(docs, labels, max_docs))
+    free_memory()
+    found = score(docs, model, keep_text)
     return found.withColumns({"held_out": held_out(), "predicted": (F.col("score") >= 0.5).cast("int")})

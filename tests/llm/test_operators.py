@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -187,6 +188,25 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(awkward(spark), "common", 2).count() == 9
 
 
+def test_toxicity_fit_in_blocks(monkeypatch):
+    """What a step makes of all hits is held a block at a time; the sums are the same to the last bit."""
+    rng = random.Random(6)
+    voc = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(300)]
+    texts = [". ".join(" ".join(rng.choices(voc, k=12)) for _ in range(100)) for _ in range(200)]
+    labels = [int(voc[0] in t.split(" ")[:400]) for t in texts]
+    whole = toxicity.fit(texts, labels, steps=2)
+    monkeypatch.setattr(toxicity, "BLOCK_HITS", 5000)
+    tracemalloc.start()
+    try:
+        assert toxicity.fit(texts, labels, steps=2) == whole
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    hits = sum(len({f for w in set(s.split()) for f in toxicity.features(w)}) for t in texts for s in t.split("."))
+    assert peak < 12 * hits  # 8 bytes a hit for each of three arrays before
+    assert toxicity.fit(["...", "a b", ""], [1, 0, 1])[1] == {}
+
+
 def test_toxicity(spark):
     random.seed(6)
     clean = ["sun", "rain", "wind", "snow", "leaf", "tree", "road", "stone"]

@@ -355,8 +355,10 @@ def relaxed_words(spark, d):
     away = F.when(F.col("k") % 97 == 0, 100000).otherwise(0)
     spans = ws.filter("pos % 40 = 5").groupBy("doc_id", "line_idx").agg(F.min("word_idx").alias("k"), *[F.min(c).alias(c) for c in ("x1", "y1", "x2", "y2")])
     spans = spans.select("doc_id", "k", (F.col("x1") + 30 + away).alias("x1"), (F.col("y1") + 3 * (F.col("k") % 9)).alias("y1"), (F.col("x2") + 10 * (F.col("k") % 13) + away).alias("x2"), (F.col("y2") + 3).alias("y2")).withColumn("x2", F.greatest("x1", "x2"))
-    second = spans.filter("k % 3 = 0").select("doc_id", "k", F.lit(1).alias("box_no"), *[(F.col(c) + by).alias(c) for c, by in (("x1", -60), ("y1", 40), ("x2", -60), ("y2", 40))])
-    found = L.drawn_words(spans.withColumn("box_no", F.lit(0)).unionByName(second), ws)
+    # both boxes come from each span where it is, so that spans are made once
+    boxed = lambda no, x, y: F.struct(F.lit(no).alias("box_no"), *[(F.col(c) + by).alias(c) for c, by in (("x1", x), ("y1", y), ("x2", x), ("y2", y))])
+    boxes = spans.select("doc_id", "k", F.explode(F.array(boxed(0, 0, 0), F.when(F.col("k") % 3 == 0, boxed(1, -60, 40)))).alias("b")).filter("b is not null")
+    found = L.drawn_words(boxes.select("doc_id", "k", "b.*"), ws)
     return found.select("doc_id", "k", "how", F.array_join(F.transform("words", lambda w: w.cast("string")), " ").alias("words"))
 
 

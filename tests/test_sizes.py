@@ -116,3 +116,12 @@ def test_boxes_of_one_line_meet_few_others(spark, tmp_path, monkeypatch):
     cols = ["doc_id", "word_idx", "text", "x1", "y1", "x2", "y2"]
     rows = lambda frame: sorted(map(tuple, frame.collect()))
     assert rows(df.filter("side = 'gt'").drop("side")) == rows(ws.select(cols)) and rows(df.filter("side = 'pred'").drop("side")) == rows(M.noisy(ws).select(cols))
+
+
+def test_j06_goes_through_a_page_in_arrays(spark, tmp_path):
+    """Words are made for the annotations and for their pages, not for each join; long lines and pages as in SQL."""
+    docs = spark.range(12).selectExpr("id as doc_id", "concat('s', id % 2) as source", "repeat(concat(repeat('one three  of ', 1 + int(id * 9)), '\\n\\nfive\\n'), int(id)) as text")
+    got, want = against_sql(spark, tmp_path, "j06_relaxed_words", "documents", docs)
+    assert got == want and {r[2] for r in got} == {"inside", "wide", "nearest"}
+    plan = catalog.QUERIES["j06_relaxed_words"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("posexplode") <= 2

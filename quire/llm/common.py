@@ -10,6 +10,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,7 +89,8 @@ def cut_dealt(df: DataFrame) -> DataFrame:
 
 
 def trim_memory() -> None:
-    """Give what this Python process has freed back to the system: the C library keeps it else (glibc; elsewhere nothing is done)."""
+    """Give what this Python process has freed back to the system: Arrow's pool and the C library keep it else (the latter by glibc only)."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
     if trim:
         trim(0)
@@ -112,6 +114,19 @@ def trimmed(rows: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
     return run
 
 
+def trimmed_group(table: Callable) -> Callable:
+    """trimmed() for a function of a group's frame."""
+
+    @functools.wraps(table)
+    def run(frame):
+        try:
+            return table(frame)
+        finally:
+            trim_memory()
+
+    return run
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files that no live plan refers to any more."""
     free_memory()

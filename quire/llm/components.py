@@ -8,12 +8,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut
+from quire.llm.common import cut, trimmed
 
 #: Partitions whose forests are joined into one.
 JOINED = 16
 
 
+@trimmed
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition's edges those that join what the ones before have not: fewer than it has nodes."""
     above: dict[int, int] = {}
@@ -33,10 +34,13 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def thinned(edges: DataFrame) -> DataFrame:
-    """Edges (x, y) with the same components: a large group's grow with its members (and the partitions), not with its pairs."""
+    """Edges (x, y) with the same components: a large group's grow with its members (and the partitions), not with its pairs.
+
+    Stored between the two passes: a task of both takes two Python workers at a time, and an executor keeps and uses all that it ever had.
+    """
     kind = "x long, y long"
-    once = edges.mapInArrow(forest, kind)
-    return once.coalesce(max(1, edges.rdd.getNumPartitions() // JOINED)).mapInArrow(forest, kind)
+    once = cut(edges.mapInArrow(forest, kind))
+    return once.coalesce(max(1, once.rdd.getNumPartitions() // JOINED)).mapInArrow(forest, kind)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -46,7 +50,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     shorten fast. Edges that close a circle are left out first, as far as a few tasks see them. All steps are joins and map-side combined minima, cut at the shared checkpoint folder.
     """
     both = thinned(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y"))
-    both = cut(both.union(both.select(F.col("y"), F.col("x"))).distinct())
+    both = cut(both.select(F.inline(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"))))).distinct())
     labels = cut(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("label")))
     while True:
         heard = both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("label").alias("least"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import arrays as A
-from quire.llm.common import ship
+from quire.llm.common import ship, trimmed
 
 U = np.uint64
 WALKS = 4
@@ -325,7 +325,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_rate: float = 0.1, k
                         out[first + d].append({"item_id": item, "first_word": start, "n_chars": length, "edits": edits, "rate": rate})
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(out, pa.list_(hit))], names=[*keep, "hits"])
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(matched, schema)
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(trimmed(matched), schema)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, max_rate: float = 0.1) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import arrays as A
-from quire.llm.common import cut, cut_dealt, free_shuffles, n_partitions, partitions, planned_once, ship, trimmed
+from quire.llm.common import cut, cut_dealt, free_shuffles, n_partitions, partitions, planned_once, ship, trimmed, trimmed_group
 from quire.llm.components import components
 
 U = np.uint64
@@ -240,6 +240,7 @@ def wide(raw: bytes) -> np.ndarray:
     return out.view(U).ravel()
 
 
+@trimmed_group
 def meet(frame: pd.DataFrame) -> pd.DataFrame:
     """Candidate pairs (kind 0) of one bucket; members of large groups (kind 1: a is the group)."""
     of = lambda kind, column: b"".join(frame.loc[frame["kind"] == kind, column])
@@ -309,6 +310,7 @@ def folded(sketches_: np.ndarray, words: int) -> np.ndarray:
     return sketches_ if sketches_.shape[1] == words else sketches_[:, :words] ^ sketches_[:, words:]
 
 
+@trimmed_group
 def rivals(frame: pd.DataFrame) -> pd.DataFrame:
     """Pairs of the groups of one bucket that components, sizes and sketches allow: each caller with each member of its group's part.
 
@@ -345,6 +347,7 @@ def rivals(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": to.astype(np.int32), "pairs": [x.tobytes() for x in np.split(pairs, cuts[1:])][: len(to)]})
 
 
+@trimmed_group
 def once(frame: pd.DataFrame) -> pd.DataFrame:
     """The distinct pairs (a, b) of one bucket of packed ones."""
     pairs = np.unique(np.frombuffer(b"".join(frame["pairs"]), np.int64).reshape(-1, 2), axis=0)

@@ -62,7 +62,8 @@ def sample(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_bytes:
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).toPandas()  # ids and labels, bounded by max_docs
     if chosen.empty:
         return [], []
-    ids = docs.sparkSession.createDataFrame(list(zip(chosen["doc_id"].tolist(), chosen["__y"].tolist())), "__id long, __y int")
+    # by Arrow: a list of rows would start Python workers of another kind on the executors, which keep them beside the others
+    ids = docs.sparkSession.createDataFrame(pa.table({"__id": pa.array(chosen["doc_id"].tolist(), pa.int64()), "__y": pa.array(chosen["__y"].tolist(), pa.int32())}))
     rows = docs.filter(F.octet_length("text") <= max_bytes).join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__y").toArrow().to_pydict()
     seen: dict[str, int] = {}
     for _, text, y in sorted(zip(rows["doc_id"], rows["text"], rows["__y"])):

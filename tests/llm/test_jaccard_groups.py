@@ -81,6 +81,15 @@ def test_a_pair_that_groups_share_is_one_row():
         assert len(found) == len(set(found)) and set(found) == want
 
 
+def test_no_task_over_edges_takes_two_python_workers(spark):
+    """The passes follow each other through a file, not in one task."""
+    edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (7, 8)], "a long, b long")
+    thin = thinned(edges)
+    assert thin._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 1
+    assert sorted(map(sorted, thin.collect())) == [[1, 2], [2, 3], [7, 8]]
+    assert dict(connected(edges).collect()) == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
+
+
 def test_edges_of_a_group_are_thinned(spark):
     """Two cliques and a chain: the same components by fewer edges than pairs."""
     edges = [(a, b) for lo in (0, 100) for a in range(lo, lo + 60) for b in range(a) if b >= lo] + [(200 + k, 201 + k) for k in range(50)]

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 
 
@@ -33,3 +35,16 @@ def test_stages(spark, tmp_path):
     assert kept[3] == kept[2] - {10}
     assert kept[4] <= kept[3] and len(kept[4]) > 100
     assert len(corpus_pipeline.run(spark, d).columns) == 8
+
+
+def test_sample_starts_no_python_on_executors(spark, monkeypatch):
+    """Executors keep the workers that a table made of Python rows starts beside those of the other steps."""
+    from pyspark import SparkContext
+
+    from quire.llm.toxicity import sample
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    monkeypatch.setattr(SparkContext, "parallelize", lambda *a, **b: pytest.fail("rows are made by Python workers"))
+    texts, y = sample(docs, labels)
+    assert texts and all(int(t.split()[1]) % 2 == k for t, k in zip(texts, y))
